@@ -32,6 +32,10 @@ def indexed_fields(catalog: DataFrame, drop_generic: bool = False) -> DataFrame:
     )
 
 
+def _with_weight(tokens: Column, weight: float) -> Column:
+    return F.transform(tokens, lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w")))
+
+
 def build_postings(
     catalog: DataFrame, drop_generic: bool = False, tokenizer: Callable[[Column], Column] = X.index_tokens,
     weights: dict[str, float] | None = None, buckets: int | None = None,
@@ -45,7 +49,7 @@ def build_postings(
     spread = catalog.repartition(buckets, "parent_asin") if buckets else catalog.repartition("parent_asin")
     tokens = indexed_fields(spread, drop_generic).select(
         "parent_asin", *[tokenizer(F.col(f)).alias(f) for f in V.BM25_FIELDS])
-    tagged = [F.transform(F.col(f), lambda t, w=weights[f]: F.struct(t.alias("term"), F.lit(w).alias("w"))) for f in V.BM25_FIELDS]
+    tagged = [_with_weight(F.col(f), weights[f]) for f in V.BM25_FIELDS]
     lengths = sum((F.size(f) for f in V.BM25_FIELDS), F.lit(0))
     return (
         tokens.select("parent_asin", lengths.alias("doc_len"), F.explode(F.concat(*tagged)).alias("t"))

@@ -4,6 +4,9 @@ import importlib
 
 MODULES = (
     "text_queries",
+    "search_queries",
+    "scoring_queries",
+    "report_queries",
 )
 
 
