@@ -7,6 +7,7 @@ MODULES = (
     "search_queries",
     "scoring_queries",
     "report_queries",
+    "slot_queries",
 )
 
 

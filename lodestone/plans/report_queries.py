@@ -64,13 +64,12 @@ def department_audit(spark, sf_dir):
     return P.department_audit(_paths(spark, sf_dir))
 
 
-@query("field_missingness", f"""WITH {S.PRODUCTS}
-SELECT field, rows, missing, rows - missing AS present FROM (
-  SELECT count(*)::BIGINT AS rows, unnest([
+@query("field_missingness", f"""WITH {S.PRODUCTS},
+m AS (SELECT count(*)::BIGINT AS rows, unnest([
     {{'f': 'material', 'm': count(*) FILTER (material IS NULL)}}, {{'f': 'color', 'm': count(*) FILTER (color IS NULL)}},
     {{'f': 'price', 'm': count(*) FILTER (price IS NULL)}}, {{'f': 'brand', 'm': count(*) FILTER (brand IS NULL)}},
-    {{'f': 'category_terms', 'm': count(*) FILTER (len(category_terms) = 0)}}]) AS x,
-    x.f AS field, x.m::BIGINT AS missing FROM products)""")
+    {{'f': 'category_terms', 'm': count(*) FILTER (len(category_terms) = 0)}}]) AS x FROM products)
+SELECT x.f AS field, rows, x.m::BIGINT AS missing, (rows - x.m)::BIGINT AS present FROM m""")
 def field_missingness(spark, sf_dir):
     rows = P.field_missingness(N.part_products(spark, sf_dir).select("material", "color", "price", "brand", "category_terms"))
     return rows.select("field", "rows", "missing", "present")

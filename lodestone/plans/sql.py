@@ -37,7 +37,7 @@ sold AS (SELECT l_partkey, sum(CAST(round(l_discount * 100) AS BIGINT))::BIGINT
          FROM lineitem GROUP BY 1),
 catalog AS (
   SELECT CAST(p_partkey AS VARCHAR) AS parent_asin, p_name AS title,
-         [p_brand, lower(p_type) || ' grade ' || split_part(p_name, ' ', 2)] AS features,
+         [p_brand, lower(p_type) || ' grade ' || p_name] AS features,
          ['A ' || p_name || ' of size ' || CAST(p_size AS VARCHAR)] AS description,
          CASE WHEN p_size % 5 = 0 THEN 'from ' || CAST(p_retailprice AS VARCHAR)
               WHEN p_size % 7 = 0 THEN '—' ELSE CAST(p_retailprice AS VARCHAR) END AS price,

@@ -28,7 +28,7 @@ def part_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.join(sold, part.p_partkey == sold.l_partkey).select(
         F.col("p_partkey").cast("string").alias("parent_asin"),
         F.col("p_name").alias("title"),
-        F.array("p_brand", F.concat(F.lower("p_type"), F.lit(" grade "), name_words[1])).alias("features"),
+        F.array("p_brand", F.concat(F.lower("p_type"), F.lit(" grade "), F.col("p_name"))).alias("features"),
         F.array(F.concat(F.lit("A "), F.col("p_name"), F.lit(" of size "), F.col("p_size").cast("string"))).alias("description"),
         price.alias("price"),
         F.array(F.lit("Parts"), F.initcap("p_type"), F.initcap(name_words[1])).alias("categories"),
