@@ -136,7 +136,8 @@ def _nodes_below_root(c) -> Column:
 
 
 def _words(values: Sequence[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+    """Literal array of words, stated as one SQL expression."""
+    return F.expr("array(" + ", ".join("'" + v.replace("'", "\\'") + "'" for v in values) + ")")
 
 
 def category_group(c) -> Column:

@@ -42,8 +42,8 @@ def vocabulary_hits(texts: DataFrame, key: list[str], text: str = "normalized")
 
 
 def _entries(pairs) -> Column:
-    """Literal array of (padded phrase, value)."""
-    return F.array(*[F.struct(F.lit(f" {p} ").alias("phrase"), F.lit(v).alias("value")) for p, v in pairs])
+    """Literal array of (padded phrase, value), stated as one SQL expression."""
+    return F.expr("array(" + ", ".join(f"named_struct('phrase', ' {p} ', 'value', '{v}')" for p, v in pairs) + ")")
 
 
 def _found(c, pairs) -> Column:

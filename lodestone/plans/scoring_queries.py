@@ -142,10 +142,8 @@ def top100(spark, sf_dir):
 @query("information_gain", f"""WITH {TOP100}
 SELECT query_id, attribute, covered, distinct_values, round(entropy, 9) AS entropy, round(gain, 9) AS information_gain FROM gains""")
 def information_gain(spark, sf_dir):
-    best = top100(spark, sf_dir).select("query_id", "parent_asin")
-    valued = best.join(C.attribute_values(N.part_products(spark, sf_dir)), "parent_asin")
-    gain = FA.information_gain(valued, best.groupBy("query_id").agg(F.count("*").alias("candidates")))
-    return gain.withColumns({"entropy": F.round("entropy", 9), "information_gain": F.round("information_gain", 9)})
+    valued = FA.with_pool_size(top100(spark, sf_dir)).join(C.attribute_values(N.part_products(spark, sf_dir)), "parent_asin")
+    return FA.information_gain(valued).withColumns({"entropy": F.round("entropy", 9), "information_gain": F.round("information_gain", 9)})
 
 
 _PRIOR_SQL = "CASE attribute " + " ".join(
@@ -173,9 +171,8 @@ SELECT query_id, attribute, products, recurring, round(least(1.0::DOUBLE, sqrt(8
        round(products / candidates::DOUBLE * ((ln(products) - s / products) / ln(recurring)) * least(1.0::DOUBLE, sqrt(8.0::DOUBLE / recurring)), 9) AS discrimination
 FROM rec JOIN n100 USING (query_id)""")
 def facet_utility(spark, sf_dir):
-    best = top100(spark, sf_dir).select("query_id", "parent_asin")
-    valued = best.join(C.attribute_values(N.part_products(spark, sf_dir)), "parent_asin")
-    return FA.recurring_utility(valued, best.groupBy("query_id").agg(F.count("*").alias("candidates")), ["query_id", "attribute"])
+    valued = FA.with_pool_size(top100(spark, sf_dir)).join(C.attribute_values(N.part_products(spark, sf_dir)), "parent_asin")
+    return FA.recurring_utility(valued, ["query_id", "attribute"]).drop("candidates")
 
 
 @query("category_novelty", f"""WITH {TOP100},

@@ -383,6 +383,5 @@ SELECT query_id, slot, covered, distinct_values, round(gain, 9) AS information_g
 def slot_question_values(spark, sf_dir):
     pool = _fused(spark, sf_dir).filter(F.col("fused_rank") <= 50).select("query_id", "parent_asin")
     answers = FA.slot_answers(pool, part_slots(spark, sf_dir), N.part_products(spark, sf_dir))
-    totals = pool.groupBy("query_id").agg(F.count("*").alias("candidates"))
-    turns = totals.select("query_id", F.lit(1).alias("turn"))
-    return FA.question_values(answers, totals, turns).drop("position")
+    turns = N.opening_queries(spark, sf_dir).select("query_id", F.lit(1).alias("turn"))
+    return FA.question_values(answers, turns).drop("position")
