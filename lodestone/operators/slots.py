@@ -168,16 +168,17 @@ def evidence_table_violations(masks: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- conversation side
 
 
-def constraint_view(states: DataFrame) -> DataFrame:
+def constraint_view(states: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Normalized intent of each conversation state.
 
     ``states``: query_id, category_text, active_terms, excluded_terms [, classified array<string>].
     Result: category_terms, positive and negative array<struct<slot, value, source>>, exact and excluded-exact terms,
-    classified slots.
+    classified slots; ``keep`` names further columns that stay beside them.
     """
+    keep = keep or []
     none = F.array().cast("array<string>")
     rows = states.select(
-        "query_id", canonical("category_text").alias("cat"), canonical(F.array_join("active_terms", " ")).alias("act"),
+        "query_id", *keep, canonical("category_text").alias("cat"), canonical(F.array_join("active_terms", " ")).alias("act"),
         canonical(F.array_join("excluded_terms", " ")).alias("exc"), "active_terms", "excluded_terms",
         F.col("classified") if "classified" in states.columns else none.alias("classified"))
     meaningful = lambda v: (v != "") & ~v.isin(*SV.NOISE_VALUES) & ~v.rlike("^[0-9]+$")
@@ -193,13 +194,13 @@ def constraint_view(states: DataFrame) -> DataFrame:
             folded, lambda v: meaningful(v) & (F.size(F.array_except(F.split(v, " "), done)) > 0))))
 
     keys = rows.select(
-        "query_id", category_terms.alias("category_terms"), _slot_keys("act").alias("act_keys"), _slot_keys("cat").alias("cat_keys"),
+        "query_id", *keep, category_terms.alias("category_terms"), _slot_keys("act").alias("act_keys"), _slot_keys("cat").alias("cat_keys"),
         _slot_keys("exc").alias("exc_keys"), exact("active_terms", "act").alias("exact_terms"),
         exact("excluded_terms", "exc").alias("excluded_exact_terms"), "classified")
     as_struct = lambda k, source: F.struct(
         F.substring_index(k, "=", 1).alias("slot"), F.substring_index(k, "=", -1).alias("value"), source.alias("source"))
     view = keys.select(
-        "query_id", "category_terms",
+        "query_id", *keep, "category_terms",
         F.transform(F.array_sort(F.array_union("act_keys", "cat_keys")), lambda k: as_struct(
             k, F.when(F.array_contains("act_keys", k), "active_terms").otherwise("category_text"))).alias("positive"),
         F.transform(F.array_sort("exc_keys"), lambda k: as_struct(k, F.lit("excluded_terms"))).alias("negative"),
