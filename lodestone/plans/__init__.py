@@ -8,6 +8,8 @@ MODULES = (
     "scoring_queries",
     "report_queries",
     "slot_queries",
+    "extraction_queries",
+    "session_queries",
 )
 
 

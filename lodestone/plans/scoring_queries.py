@@ -160,7 +160,7 @@ def question_choice(spark, sf_dir):
     best = top100(spark, sf_dir).select("query_id", "parent_asin")
     products = N.part_products(spark, sf_dir)
     groups = C.question_category(N.opening_queries(spark, sf_dir), products)
-    return FA.select_question(FA.question_scores(best, C.attribute_values(products), groups))
+    return FA.select_question(FA.question_scores(FA.question_gains(best, C.attribute_values(products), groups)))
 
 
 @query("facet_utility", f"""WITH {TOP100},

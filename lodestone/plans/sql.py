@@ -120,7 +120,7 @@ def topk_cte(name: str, k: int, scores: str = "scores", where: str = "true") ->
 
 BENCHMARK_QUERIES = "SELECT CAST(item_id AS VARCHAR) AS query_id, text AS query_text FROM benchmark"
 MESSAGE_QUERIES = (
-    "SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS query_id, text AS query_text "
+    "SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn + 1 AS VARCHAR) AS query_id, text AS query_text "
     "FROM conversations WHERE role = 'user'")
 
 # Shopping sessions: one per customer, one turn per order.

@@ -67,7 +67,7 @@ def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def user_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").filter("role = 'user'").select(
-        F.col("conv_id").cast("string").alias("session_id"), F.col("turn").cast("int").alias("turn"),
+        F.col("conv_id").cast("string").alias("session_id"), (F.col("turn") + 1).cast("int").alias("turn"),
         F.col("text").alias("message"))
 
 
