@@ -51,7 +51,7 @@ DETAIL_GROUPS = {
 
 def path_counts(catalog: DataFrame) -> DataFrame:
     """Products per distinct category path.  Everything about the taxonomy follows from this small table."""
-    path = F.transform("categories", F.trim)
+    path = F.transform("categories", lambda v: F.trim(v))
     return catalog.groupBy(path.alias("path")).agg(F.count("*").alias("products"))
 
 

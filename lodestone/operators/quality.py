@@ -111,7 +111,7 @@ def source_fragments(documents: DataFrame) -> DataFrame:
     separated = documents.select("parent_asin", leaves.alias("fragments"))
     # One folding pass per product: fragments are joined by a separator that no text contains.
     joined = surface(F.array_join(F.transform("fragments", lambda v: F.regexp_replace(v, "\u0001", " ")), "\u0001"))
-    return separated.select("parent_asin", "fragments", F.transform(F.split(joined, "\u0001"), F.trim).alias("surfaces"))
+    return separated.select("parent_asin", "fragments", F.transform(F.split(joined, "\u0001"), lambda v: F.trim(v)).alias("surfaces"))
 
 
 def passages(catalog: DataFrame, attributes: DataFrame) -> DataFrame:

@@ -47,8 +47,14 @@ def _entries(pairs) -> Column:
 
 
 def _found(c, pairs) -> Column:
+    """Values of all phrases a canonical text contains.
+
+    The text stands beside every phrase, outside the lambda, so that it is computed once per row.
+    """
+    listed = list(pairs)
     padded = F.concat(F.lit(" "), X._col(c), F.lit(" "))
-    return F.array_distinct(F.transform(F.filter(_entries(pairs), lambda e: padded.contains(e["phrase"])), lambda e: e["value"]))
+    beside = F.arrays_zip(_entries(listed).alias("e"), F.array_repeat(padded, len(listed)).alias("t"))
+    return F.array_distinct(F.transform(F.filter(beside, lambda p: p["t"].contains(p["e"]["phrase"])), lambda p: p["e"]["value"]))
 
 
 def extract_slot(c, slot: str) -> Column:
@@ -184,19 +190,25 @@ def constraint_view(states: DataFrame, keep: list[str] | None = None) -> DataFra
     meaningful = lambda v: (v != "") & ~v.isin(*SV.NOISE_VALUES) & ~v.rlike("^[0-9]+$")
     known = extract_slot("cat", "category")
     loose = F.array_distinct(F.filter(
-        F.array_except(F.split("cat", " "), _consumed("cat")), lambda t: (F.length(t) > 1) & ~t.isin(*SV.NOISE_VALUES)))
+        F.array_except(F.split("cat", " "), "cat_done"), lambda t: (F.length(t) > 1) & ~t.isin(*SV.NOISE_VALUES)))
     category_terms = F.when(F.size(known) > 0, known).when(F.col("cat").isin(*SV.GENERIC_LABELS), none).otherwise(F.array_sort(loose))
 
-    def exact(terms: str, text: str) -> Column:
-        folded = F.transform(terms, lambda t: canonical(t, fold=False))
-        done = _consumed(text)
-        return F.array_sort(F.array_distinct(F.filter(
-            folded, lambda v: meaningful(v) & (F.size(F.array_except(F.split(v, " "), done)) > 0))))
-
+    def exact(terms: str, words: str, done: str) -> Column:
+        # Terms are single ASCII words, so their canonical forms are the words of the joined canonical text; only
+        # hyphenated ones are phrases of their own and are looked at one by one.
+        single = F.filter(F.array_except(words, done), meaningful)
+        hyphened = F.transform(F.filter(terms, lambda t: t.contains("-")), lambda t: F.trim(F.regexp_replace(t, "-+", " ")))
+        paired = F.arrays_zip(hyphened.alias("v"), F.array_repeat(done, F.size(hyphened)).alias("done"))
+        phrases = F.filter(paired, lambda p: meaningful(p["v"]) & (F.size(F.array_except(F.split(p["v"], " "), p["done"])) > 0))
+        return F.array_sort(F.array_distinct(F.concat(single, F.transform(phrases, lambda p: p["v"]))))
+
+    words_of = lambda c: canonical(F.array_join(F.filter(c, lambda t: ~t.contains("-")), " "))
+    rows = rows.withColumns({"act_words": F.split(words_of("active_terms"), " "), "exc_words": F.split(words_of("excluded_terms"), " ")})
+    rows = rows.withColumns({"cat_done": _consumed("cat"), "act_done": _consumed("act"), "exc_done": _consumed("exc")})
     keys = rows.select(
         "query_id", *keep, category_terms.alias("category_terms"), _slot_keys("act").alias("act_keys"), _slot_keys("cat").alias("cat_keys"),
-        _slot_keys("exc").alias("exc_keys"), exact("active_terms", "act").alias("exact_terms"),
-        exact("excluded_terms", "exc").alias("excluded_exact_terms"), "classified")
+        _slot_keys("exc").alias("exc_keys"), exact("active_terms", "act_words", "act_done").alias("exact_terms"),
+        exact("excluded_terms", "exc_words", "exc_done").alias("excluded_exact_terms"), "classified")
     as_struct = lambda k, source: F.struct(
         F.substring_index(k, "=", 1).alias("slot"), F.substring_index(k, "=", -1).alias("value"), source.alias("source"))
     view = keys.select(
