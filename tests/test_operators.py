@@ -37,7 +37,7 @@ def test_departments_and_canonical(spark):
         spark, a=X.normalize_department(F.lit("Unisex-Child kids")), b=X.normalize_department(F.lit("Men's")),
         c=X.extract_department(F.lit("red shoes")), d=canonical(F.lit("Men’s T-Shirt & Ｇrey")), e=X.normalize_department(F.lit("Pets")))
     assert row.a == "unisex child" and row.c is None and row.d == "men tshirt and gray" and row.e == "pets"
-    assert row.b == "mens" or row.b == "men's"
+    assert row.b == "mens"
 
 
 def test_openings(spark):
@@ -54,8 +54,7 @@ def test_taxonomy(spark):
         (["Root", "Women", "Watches", "Wrist Watches"],), (["Root", "Men", "Watches", "Wrist Watches"],),
         (["Root", "Promotion", "Wrist Watches"],), (["Root", "Women", "Shoes"],), ([],)], "categories array<string>"))
     s = taxonomy_summary(paths).first()
-    assert (s.products, s.products_without_categories, s.leaf_labels, s.leaf_nodes, s.penultimate_labels, s.penultimate_nodes) == (5, 1, 2, 4, 3, 4) or (
-        s.penultimate_labels == 3)
+    assert (s.products, s.products_without_categories, s.leaf_labels, s.leaf_nodes, s.penultimate_labels, s.penultimate_nodes) == (5, 1, 2, 4, 3, 4)
     a = department_audit(paths).first()
     assert (a.with_second_level, a.department_products, a.department_fraction, a.always_department, a.other_labels) == (4, 3, 0.75, False, 1)
 
@@ -186,5 +185,6 @@ def test_tree_scores(spark):
 def test_products(catalog):
     rows = {r.parent_asin: r for r in C.products(catalog).collect()}
     assert rows["P0"].material == "leather" and rows["P3"].color == "red" and rows["P5"].department == "womens"
-    assert rows["P0"].coarse_category == "Women Shoes" or rows["P0"].coarse_category.endswith("Shoes")
+    # The umbrella label splits at its comma, so only its second half is no umbrella label by itself.
+    assert rows["P0"].coarse_category == "Women Shoes"
     assert C.catalog_id_violations(catalog.unionByName(catalog.limit(1))).count() == 1
