@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import table
 from lodestone.llm.minhash import near_duplicates
+from lodestone.llm.packing import packed
+from lodestone.llm.toxicity import fit, score
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -19,6 +21,28 @@ def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return function
 
 
+def toxicity_model(spark: SparkSession, sf_dir: str):
+    """The classifier learned from the labelled documents whose crc32 of the id is not divisible by five."""
+    labels = table(spark, sf_dir, "labels", "doc_id", F.col("toxic").alias("label"))
+    labels = labels.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+    documents = table(spark, sf_dir, "documents", F.col("doc_id").alias("id"), "text")
+    return fit(documents.join(labels.withColumnRenamed("doc_id", "id"), "id"))
+
+
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents."""
+    scored = score(table(spark, sf_dir, "documents", "doc_id", "text"), toxicity_model(spark, sf_dir))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 1024 tokens."""
+    return packed(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 @query
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents at a similarity of 0.85."""
