@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import table
 from lodestone.llm.minhash import near_duplicates
 from lodestone.llm.packing import packed
+from lodestone.llm.repeats import without_repeats
 from lodestone.llm.toxicity import fit, score
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,6 +22,13 @@ def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return function
 
 
+@query
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without 50-byte strings of documents with smaller ids."""
+    cut = without_repeats(table(spark, sf_dir, "documents", "doc_id", "text"), with_text=False)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.lower(F.hex("kept")).alias("kept_sha256"))
+
+
 def toxicity_model(spark: SparkSession, sf_dir: str):
     """The classifier learned from the labelled documents whose crc32 of the id is not divisible by five."""
     labels = table(spark, sf_dir, "labels", "doc_id", F.col("toxic").alias("label"))
