@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm import language
 from lodestone.llm.common import table
+from lodestone.llm.embeddings import linked_vectors
 from lodestone.llm.minhash import near_duplicates
 from lodestone.llm.packing import packed
 from lodestone.llm.repeats import without_repeats
@@ -29,12 +31,20 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.lower(F.hex("kept")).alias("kept_sha256"))
 
 
+@query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learned from those whose crc32 of the id is not 2 modulo 4."""
+    part = F.crc32(F.col("doc_id").cast("string")) % 4
+    labelled = table(spark, sf_dir, "documents", F.col("doc_id").alias("id"), "text", "lang", part.alias("part")).where("part <> 2")
+    found = language.identify(table(spark, sf_dir, "documents", "doc_id", "text"), language.fit(labelled))
+    return found.select("doc_id", F.coalesce(part == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def toxicity_model(spark: SparkSession, sf_dir: str):
     """The classifier learned from the labelled documents whose crc32 of the id is not divisible by five."""
-    labels = table(spark, sf_dir, "labels", "doc_id", F.col("toxic").alias("label"))
-    labels = labels.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
-    documents = table(spark, sf_dir, "documents", F.col("doc_id").alias("id"), "text")
-    return fit(documents.join(labels.withColumnRenamed("doc_id", "id"), "id"))
+    labels = table(spark, sf_dir, "labels", F.col("doc_id").alias("id"), F.col("toxic").alias("label"))
+    labels = labels.where(F.crc32(F.col("id").cast("string")) % 5 != 0)
+    return fit(labels, table(spark, sf_dir, "documents", F.col("doc_id").alias("id"), "text"))
 
 
 @query
@@ -55,3 +65,9 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents at a similarity of 0.85."""
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), percent=85)
+
+
+@query
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all embeddings at a cosine of 0.9."""
+    return linked_vectors(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
