@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import os
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_OWN: dict[str, str] = {}
+
 # Rows up to this count, of a few short columns each, are a safe broadcast.
 BROADCAST_ROWS = 200_000
 
@@ -28,29 +30,30 @@ def local_session(cpus: int | str = 8, app: str = "lodestone") -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder for one job's tables below the cluster's ``spark.checkpoint.dir``.
+    """A new folder for one job's tables below the ``spark.checkpoint.dir`` that the cluster names.
 
-    Only where that setting is absent (local tests) a folder is chosen here.
+    Executors must all see it.  Only a session whose driver is its one machine may go without the setting and gets a folder of
+    its own; a cluster session is refused.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = current.get() if current.isDefined() else None
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(base)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = _OWN.setdefault(spark.sparkContext.applicationId, f"/tmp/spark-{uuid.uuid4().hex}")
     return f"{base.rstrip('/')}/lodestone-{uuid.uuid4().hex}"
 
 
-def write_table(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+def write_table(df: DataFrame, name: str, partition_by: list[str] | None = None, compression: str | None = None) -> DataFrame:
     """Materialize ``df`` as parquet in the shared folder and read it back: survives executor loss, cuts lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
+    if compression:
+        writer = writer.option("compression", compression)
     writer.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
 
 
 def at_most(df: DataFrame, rows: int) -> bool:
