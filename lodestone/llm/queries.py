@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+import zlib
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import language
+from lodestone.llm import jpeg, language
 from lodestone.llm.common import table
 from lodestone.llm.embeddings import linked_vectors
 from lodestone.llm.minhash import near_duplicates
 from lodestone.llm.packing import packed
 from lodestone.llm.repeats import without_repeats
 from lodestone.llm.toxicity import fit, score
+from lodestone.session import write_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -61,6 +65,33 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def _media_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        out = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
+        for media in batch.column("media").to_pylist():
+            image = jpeg.decode(media)
+            payload = jpeg.payload_of(image)
+            out["payload_bytes"].append(len(payload))
+            out["payload_sha256"].append(hashlib.sha256(payload).hexdigest())
+            out["tail_crc32"].append(zlib.crc32(payload[-16:]))
+            out["media_bytes"].append(len(media))
+            out["media_sha256"].append(hashlib.sha256(media).hexdigest())
+            out["feature"].append(jpeg.feature(jpeg.tensor(image)))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("n_bytes"), *map(pa.array, out.values())],
+            ["doc_id", "n_bytes", *out])
+
+
+@query
+def op8_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents stored as progressive JPEG media, then read back, decoded and described."""
+    media = write_table(jpeg.stored(table(spark, sf_dir, "documents", "doc_id", "text")), "media", compression="zstd")
+    return media.mapInArrow(
+        _media_digests, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+
+
 @query
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents at a similarity of 0.85."""
