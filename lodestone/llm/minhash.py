@@ -27,6 +27,7 @@ MINIMA = 64
 TREES = 16
 DEPTH = 4
 NEIGHBOURS = 8
+BLOCK = 1024  # members of a crowded region that one task holds against as many others
 # Fewer equal minima than this happen to a pair at the threshold once in a million: 5 standard deviations below its mean.
 _DRAW = np.random.default_rng(20240607)
 _A = _DRAW.integers(1 << 31, 1 << 32, MINIMA, dtype=np.uint32) | np.uint32(1)
@@ -110,7 +111,7 @@ def _likely(percent: int):
             x = np.frombuffer(b"".join(batch.column("sig_a").to_pylist()), np.uint32).reshape(-1, MINIMA)
             y = np.frombuffer(b"".join(batch.column("sig_b").to_pylist()), np.uint32).reshape(-1, MINIMA)
             keep = np.flatnonzero((x == y).sum(axis=1) >= least)
-            yield batch.select(["a", "b"]).take(pa.array(keep))
+            yield batch.select(["a", "b", "step"]).take(pa.array(keep))
     return check
 
 
@@ -123,16 +124,19 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ["id", "shingles"])
 
 
+def _reaches(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    short, long = (x, y) if len(x) <= len(y) else (y, x)
+    at = np.searchsorted(long, short)
+    both = int((long[np.minimum(at, len(long) - 1)] == short).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _confirmed(percent: int):
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for i, (x, y) in enumerate(zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist())):
-                x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
-                short, long = (x, y) if len(x) <= len(y) else (y, x)
-                at = np.searchsorted(long, short)
-                both = int((long[np.minimum(at, len(long) - 1)] == short).sum())
-                if 100 * both >= percent * (len(x) + len(y) - both):
+                if _reaches(np.frombuffer(x, U64), np.frombuffer(y, U64), percent):
                     keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
     return check
@@ -146,14 +150,17 @@ def _likely_pairs(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFr
         .join(side.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b")), "b")
         .where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
     )
-    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(_likely(percent), "a long, b long")
+    return both.select("a", "b", "step", "sig_a", "sig_b").mapInArrow(_likely(percent), "a long, b long, step int")
+
+
+def _set_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Shingle sets of the texts in ``ids``; the texts are dealt by id at every size, so their shuffle grows as they do."""
+    wanted = docs.join(ids.distinct().hint("shuffle_hash"), "id", "left_semi").select("id", "text")
+    return write_table(wanted.mapInArrow(_sets, "id long, shingles binary"), "sets")
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Pairs that reach the threshold on full shingle sets; only texts of some pair are read into sets."""
-    pairs = write_table(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = write_table(docs.join(wanted, "id", "left_semi").select("id", "text").mapInArrow(_sets, "id long, shingles binary"), "sets")
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs that reach the threshold on full shingle sets."""
     both = (
         pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), "a")
         .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b")
@@ -162,22 +169,40 @@ def _confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 
 
 def _between(percent: int):
-    """Blocks of a crowded region against each other: pairs of different components whose minima allow the threshold."""
+    """Two blocks of a crowded region: links between different components, confirmed on full sets.
+
+    Links that only repeat a connection found in the same two blocks are left out.
+    """
     rate = percent / 100
     least = int(MINIMA * rate - 5 * (MINIMA * rate * (1 - rate)) ** 0.5)
 
     def search(key, left, right):
-        ids_a, comp_a = left.column("id").to_numpy(), left.column("component").to_numpy()
-        ids_b, comp_b = right.column("id").to_numpy(), right.column("component").to_numpy()
+        sides = []
+        for side in (left, right):
+            sets = [np.frombuffer(x, U64) for x in side.column("shingles").to_pylist()]
+            with np.errstate(over="ignore"):
+                sigs = np.array([signature(x) for x in sets], np.uint32).reshape(-1, MINIMA)
+            sides.append((side.column("id").to_numpy(), side.column("component").to_numpy(), sets, sigs, np.array([len(x) for x in sets], np.int64)))
+        (ids_a, comp_a, sets_a, sigs_a, n_a), (ids_b, comp_b, sets_b, sigs_b, n_b) = sides
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.get(x, x) != x:
+                parent[x] = parent.get(parent[x], parent[x])
+                x = parent[x]
+            return x
+
         a, b = [], []
-        if len(ids_a) and len(ids_b):
-            y = np.frombuffer(b"".join(right.column("sig").to_pylist()), np.uint32).reshape(-1, MINIMA)
-            for i, sig in enumerate(left.column("sig").to_pylist()):
-                hit = ((y == np.frombuffer(sig, np.uint32)).sum(axis=1) >= least) & (comp_b != comp_a[i]) & (ids_b != ids_a[i])
-                b.append(ids_b[hit])
-                a.append(np.full(len(b[-1]), ids_a[i]))
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        for i in range(len(ids_a) if len(ids_b) else 0):
+            fits = 100 * np.minimum(n_b, n_a[i]) >= percent * np.maximum(n_b, n_a[i])
+            hit = np.flatnonzero(fits & (comp_b != comp_a[i]) & ((sigs_b == sigs_a[i]).sum(axis=1) >= least))
+            for j in hit.tolist():
+                x, y = root(int(comp_a[i])), root(int(comp_b[j]))
+                if x != y and _reaches(sets_a[i], sets_b[j], percent):
+                    parent[max(x, y)] = min(x, y)
+                    a.append(int(ids_a[i]))
+                    b.append(int(ids_b[j]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
     return search
 
 
@@ -204,27 +229,30 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     candidates = write_table(
         found.groupBy(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).agg(F.min("step").alias("step")), "candidates")
 
-    likely = write_table(_likely_pairs(candidates.where("step = 0").select("a", "b"), sketches_of(reps), percent), "likely")
-    links = _confirm(likely, docs, percent)
+    likely = write_table(_likely_pairs(candidates, reps, percent), "likely")
+    crowded = forest.groupBy("region").agg(F.count("*").alias("members")).where(F.col("members") > NEIGHBOURS + 1)
+    crowd = write_table(forest.join(crowded, "region").select("region", "members", F.col("rep").alias("id")), "crowd")
+    sets = _set_table(docs, likely.select(F.col("a").alias("id")).union(likely.select("b")).union(crowd.select("id")))
+    links = _confirm(likely.where("step = 0").select("a", "b"), sets, percent)
     labels = write_table(components(links), "labels")
 
     def label(df: DataFrame, column: str, name: str) -> DataFrame:
         side = labels.select(F.col("id").alias(column), F.col("component").alias(name))
         return df.join(side, column, "left").withColumn(name, F.coalesce(name, column))
 
-    apart = label(label(candidates.where("step > 0").select("a", "b"), "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
-    crowded = forest.groupBy("region").agg(F.count("*").alias("members")).where(F.col("members") > NEIGHBOURS + 1)
-    inside = label(forest.join(crowded, "region").select("region", "members", F.col("rep").alias("id")), "id", "component")
+    apart = label(label(likely.where("step > 0").select("a", "b"), "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
+    links = links.union(_confirm(apart, sets, percent))
+    labels = write_table(components(links), "labels")
+
+    inside = label(crowd, "id", "component")
     split = inside.groupBy("region").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("region")
-    inside = inside.join(split, "region").join(reps.select("id", "sig"), "id")
-    block = F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / 512)).cast("int")
-    inside = write_table(inside.select("region", "id", "component", "sig", block.alias("block"), F.ceil(F.col("members") / 512).cast("int").alias("blocks")), "inside")
-    left = inside.select("region", "block", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("against"), "id", "component", "sig")
-    right = inside.select("region", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("block"), F.col("block").alias("against"), "id", "component", "sig")
-    keys = ["region", "block", "against"]
-    beyond = left.groupBy(keys).cogroup(right.groupBy(keys)).applyInArrow(_between(percent), "a long, b long").where("a < b")
-    more = write_table(_likely_pairs(apart.union(beyond).distinct(), sketches_of(reps), percent), "likely")
-    links = links.union(_confirm(more, docs, percent))
+    inside = inside.join(split, "region").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+    inside = write_table(inside.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).join(sets, "id"), "inside")
+    left = inside.withColumn("against", F.explode(F.sequence("block", F.col("blocks") - 1)))
+    right = inside.withColumn("against", F.col("block")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("block"))))
+    keys, columns = ["region", "block", "against"], ["region", "block", "against", "id", "component", "shingles"]
+    beyond = left.select(columns).groupBy(keys).cogroup(right.select(columns).groupBy(keys)).applyInArrow(_between(percent), "a long, b long")
+    links = links.union(write_table(beyond, "links"))
     labels = write_table(components(links), "labels")
 
     of_class = classes.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select(
@@ -233,6 +261,3 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"),
         F.coalesce(F.coalesce("component", "id") == F.col("id"), F.lit(True)).alias("kept"))
 
-
-def sketches_of(reps: DataFrame) -> DataFrame:
-    return reps.select("id", "n", "sig")
