@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lodestone.llm import jpeg, language
 from lodestone.llm.common import table
 from lodestone.llm.embeddings import linked_vectors
+from lodestone.llm.lines import line_classes
 from lodestone.llm.minhash import near_duplicates
 from lodestone.llm.packing import packed
 from lodestone.llm.repeats import without_repeats
@@ -28,6 +29,12 @@ def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return function
 
 
+@query
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All different lines of the documents with their near-duplicate class at two edits."""
+    return line_classes(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 @query
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of each document without 50-byte strings of documents with smaller ids."""

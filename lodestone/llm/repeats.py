@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,23 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+@contextmanager
+def text_blocks(docs: DataFrame) -> Iterator[tuple[DataFrame, int]]:
+    """Texts of (id, text) in blocks of about a megabyte, and the number of buckets that the table is dealt to by block.
+
+    What is found about a block meets its text bucket by bucket, without moving the text again.  The table goes at the end.
+    """
+    spark = docs.sparkSession
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = max(12, -(-size // BUCKET_BYTES))
+    name = f"text_blocks_{uuid.uuid4().hex}"
+    docs.select("id", "text").mapInArrow(_blocks, _BLOCKS).write.option("compression", "zstd").bucketBy(min(buckets, 4096), "block").saveAsTable(name)
+    try:
+        yield spark.table(name).select("block", "ids", "sizes", "text"), buckets
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def cells(text: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of every cell: first string start, number of strings, hash of its gram, hash of its bytes, place of its document."""
     none = np.zeros(0, np.int64)
@@ -233,15 +251,8 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     A null text is empty; texts under 50 bytes lose nothing; rows with equal ids are one document for the comparison; ids must
     not be null (such rows are left out).
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).where("id is not null")
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets = max(12, -(-size // BUCKET_BYTES))
-    name = f"text_blocks_{uuid.uuid4().hex}"
-    docs.mapInArrow(_blocks, _BLOCKS).write.option("compression", "zstd").bucketBy(min(buckets, 4096), "block").saveAsTable(name)
-    try:
-        text = spark.table(name).select("block", "ids", "sizes", "text")
-
+    with text_blocks(docs) as (text, buckets):
         grams = text.mapInArrow(_grams(buckets), "bucket int, block long, data binary")
         shared = grams.groupBy("bucket").applyInArrow(_shared, "block long, grams binary")
         shared = shared.groupBy("block").agg(F.collect_list("grams").alias("grams")).hint("shuffle_hash")
@@ -266,5 +277,3 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
         marks = wholly.union(partly).groupBy("block").agg(F.collect_list(F.struct("at", "n", "bits")).alias("marks")).hint("shuffle_hash")
         done = text.join(marks, "block", "left").select("block", "ids", "sizes", "text", "marks").mapInArrow(_cut(with_text), _CUT)
         return write_table(done, "cut").withColumnRenamed("id", id_column)
-    finally:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
