@@ -7,10 +7,10 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import jpeg, language
+from lodestone.llm import jpeg, language, urls
 from lodestone.llm.common import table
 from lodestone.llm.embeddings import linked_vectors
 from lodestone.llm.lines import line_classes
@@ -29,6 +29,58 @@ def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return function
 
 
+YEAR = 366 * 86400
+START = 1704067200  # 2024-01-01, in seconds
+
+
+def _draw(column: Column, salt: str) -> Column:
+    """A number below 2^28 from the digest of a value."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", column.cast("string"), F.lit(salt))), 1, 7), 16, 10).cast("long")
+
+
+def list_entries(pages: DataFrame) -> DataFrame:
+    """Dated list entries about the hosts and domains of the pages: five changes in a year, by the digest of the name."""
+    names = pages.select(F.explode(urls.domains(urls.host(F.col("url")))).alias("domain")).distinct()
+    lists = names.crossJoin(F.broadcast(names.sparkSession.createDataFrame([("block", 3), ("allow", 5)], "list string, rare long")))
+    drawn = lists.where(_draw(F.concat_ws("|", "domain", "list"), "in") % F.col("rare") == 0)
+    changes = drawn.select("list", "domain", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"))
+    at = START + _draw(F.concat_ws("|", "domain", "list", "k"), "at") % YEAR
+    return changes.select("list", "domain", (F.col("k") % 2 == 0).alias("listed"), at.alias("at"))
+
+
+@query
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, each fetched at a time of its own, against the list entries that were valid then."""
+    pages = table(spark, sf_dir, "pages", "page_id", "url")
+    captures = pages.withColumn("fetched", START + _draw(F.col("page_id"), "fetched") % YEAR)
+    return urls.filtered(captures, list_entries(pages))
+
+
+_DRAW = "CAST('0x' || substr(md5(CAST({0} AS VARCHAR) || '|{1}'), 1, 7) AS BIGINT)"
+ORACLES["op1_url_filter"] = f"""
+WITH captures AS (
+  SELECT page_id, url, {START} + {_DRAW.format("page_id", "fetched")} % {YEAR} AS fetched,
+         nullif(lower(regexp_extract(url, '{urls.HOST}', 1)), '') AS host FROM pages),
+labels AS (SELECT host, string_split(host, '.') AS parts FROM (SELECT DISTINCT host FROM captures WHERE host IS NOT NULL)),
+names AS (
+  SELECT host, array_to_string(parts[k:], '.') AS domain
+  FROM labels, unnest(range(1, greatest(len(parts), 2))) AS t(k)),
+entries AS (
+  SELECT list, domain, k % 2 = 0 AS listed, {START} + {_DRAW.format("domain || '|' || list || '|' || k", "at")} % {YEAR} AS moment
+  FROM (SELECT DISTINCT domain FROM names), (VALUES ('block', 3), ('allow', 5)) AS l(list, rare), range(5) AS r(k)
+  WHERE {_DRAW.format("domain || '|' || list", "in")} % rare = 0),
+states AS (SELECT list, domain, moment, bool_and(listed) AS listed FROM entries GROUP BY list, domain, moment),
+spans AS (SELECT *, lead(moment) OVER (PARTITION BY list, domain ORDER BY moment) AS until FROM states),
+valid AS (
+  SELECT c.host, c.fetched, s.domain, s.list,
+         row_number() OVER (PARTITION BY c.host, c.fetched ORDER BY length(s.domain) DESC, s.list = 'allow' DESC, s.list DESC, s.domain DESC) AS place
+  FROM (SELECT DISTINCT host, fetched FROM captures) c JOIN names n ON n.host = c.host
+  JOIN spans s ON s.domain = n.domain AND s.listed AND s.moment <= c.fetched AND (s.until IS NULL OR c.fetched < s.until))
+SELECT c.page_id, c.url, c.fetched, c.host, v.domain AS listed_domain, v.list, coalesce(v.list <> 'block', true) AS kept
+FROM captures c LEFT JOIN valid v ON v.host = c.host AND v.fetched = c.fetched AND v.place = 1
+"""
+
+
 @query
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All different lines of the documents with their near-duplicate class at two edits."""
