@@ -79,6 +79,30 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(U64) * U64(0xA0761D6478BD642F))
 
 
+def char_prefix(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``prefix_hash``, over code points; with the inverse powers that ``char_span`` needs."""
+    powers = np.full(len(data) + 1, _BASE, U64)
+    powers[0] = 1
+    powers = np.multiply.accumulate(powers)
+    inverse = np.full(len(data) + 1, pow(_BASE, -1, 1 << 64), U64)
+    inverse[0] = 1
+    inverse = np.multiply.accumulate(inverse)
+    sums = np.zeros(len(data) + 1, U64)
+    np.cumsum(mix(data.astype(U64) + U64(1)) * powers[:-1], out=sums[1:])
+    return sums, inverse
+
+
+def char_span(prefix: tuple[np.ndarray, np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of code points."""
+    return mix(raw_span(prefix, start, end) + (end - start).astype(U64) * U64(0xA0761D6478BD642F))
+
+
+def raw_span(prefix: tuple[np.ndarray, np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """As ``char_span`` for spans of one length, without the final mixing."""
+    sums, inverse = prefix
+    return (sums[end] - sums[start]) * inverse[start]
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import U64, components, mix, signed, unpack
+from lodestone.llm.common import U64, char_prefix, char_span, components, mix, signed, unpack
 from lodestone.llm.repeats import _deal, _dealt, text_blocks
 from lodestone.session import write_table
 
@@ -23,7 +23,6 @@ EDITS = 2
 LEAST = 16  # characters; shorter lines are equal or different
 BUCKET_SHARE = 2  # key buckets per bucket of text
 _NEWLINE = 10
-_BASE = U64(0x9E3779B97F4A7C15)
 
 
 def _characters(text: bytes, sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -43,23 +42,6 @@ def _characters(text: bytes, sizes: list[int]) -> tuple[np.ndarray, np.ndarray,
     return data, starts, ends, owner
 
 
-def _prefix(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    powers = np.full(len(data) + 1, _BASE, U64)
-    powers[0] = 1
-    powers = np.multiply.accumulate(powers)
-    inverse = np.full(len(data) + 1, pow(int(_BASE), -1, 1 << 64), U64)
-    inverse[0] = 1
-    inverse = np.multiply.accumulate(inverse)
-    sums = np.zeros(len(data) + 1, U64)
-    np.cumsum(mix(data.astype(U64) + U64(1)) * powers[:-1], out=sums[1:])
-    return sums, inverse
-
-
-def _span(prefix: tuple[np.ndarray, np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    sums, inverse = prefix
-    return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(U64) * U64(0xA0761D6478BD642F))
-
-
 def segments(length: np.ndarray, edits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Number, first character and size of every segment of lines of the given lengths; later segments are the longer ones."""
     size, more = np.divmod(length, edits + 1)
@@ -85,10 +67,10 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block, ids, sizes, text in zip(*(c.to_pylist() for c in batch.columns)):
             data, starts, ends, owner = _characters(text, sizes)
-            prefix = _prefix(data)
+            prefix = char_prefix(data)
             first = np.searchsorted(owner, np.arange(len(sizes)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(_span(prefix, starts, ends))), pa.array((ends - starts).astype(np.int32)), pa.array(np.array(ids, np.int64)[owner]),
+                [pa.array(signed(char_span(prefix, starts, ends))), pa.array((ends - starts).astype(np.int32)), pa.array(np.array(ids, np.int64)[owner]),
                  pa.array((np.arange(len(starts)) - first[owner]).astype(np.int32)), pa.array(np.full(len(starts), block)), pa.array(starts.astype(np.int32))],
                 ["line", "size", "doc", "number", "block", "at"])
 
@@ -106,8 +88,8 @@ def _keys(buckets: int, edits: int):
         for batch in batches:
             for block, _, sizes, text in zip(*(c.to_pylist() for c in batch.columns)):
                 data, starts, ends, _ = _characters(text, sizes)
-                prefix = _prefix(data)
-                line = _span(prefix, starts, ends)
+                prefix = char_prefix(data)
+                line = char_span(prefix, starts, ends)
                 keep = np.flatnonzero(ends - starts >= LEAST)
                 keep = keep[np.unique(line[keep], return_index=True)[1]]
                 starts, length, line = starts[keep], (ends - starts)[keep], line[keep]
@@ -115,7 +97,7 @@ def _keys(buckets: int, edits: int):
                 keys, owners = [], []
 
                 def add(role, at, size, indexed, i, own):
-                    h = _span(prefix, at, at + size)
+                    h = char_span(prefix, at, at + size)
                     h = mix(h + indexed.astype(U64) * U64(0xD6E8FEB86659FD93) + U64((i + 1) * 0x9FB21C651E98DF25 & 0xFFFFFFFFFFFFFFFF))
                     keys.append(h & ~U64(1) | U64(role))
                     owners.append(own)

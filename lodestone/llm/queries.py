@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import jpeg, language, urls
+from lodestone.llm import jpeg, language, segmentations, urls
 from lodestone.llm.common import table
 from lodestone.llm.embeddings import linked_vectors
 from lodestone.llm.lines import line_classes
@@ -124,6 +124,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+@query
+def op7_sentencepiece_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four different segmentations of every document, sampled without replacement."""
+    return segmentations.sampled(table(spark, sf_dir, "documents", "doc_id", "text"), with_ids=False)
+
+
 def _media_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
