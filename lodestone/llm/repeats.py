@@ -1,11 +1,13 @@
-"""Removal of byte strings that repeat from earlier documents, by a suffix array over content-defined cells.
-
-Every 50-byte string has a canonical 16-byte gram: the one with the least hash, leftmost among equals.  Neighbouring strings
-with the same gram occurrence form a cell (at most 35 strings, 84 bytes), so a string's gram, offset and cell are read off its
-own bytes wherever it stands.  Cells whose gram occurs in one document only can't repeat and go.  The remaining cells, hashed,
-are the symbols of a sequence whose suffixes are ranked by the difference-cover algorithm of ``suffixes``; equal neighbours
-among the ranked suffixes begin with the same cell, so with the same strings.  Where a gram has several cells (the edges of
-repeats), the strings of one cell of each kind are compared one by one.
+"""Removal of byte strings that repeat from earlier documents, by sorted prefixes of content-defined cells.
+
+Every 50-byte string has a canonical 24-byte gram: the one with the least hash, leftmost among equals.  Neighbouring strings
+with the same gram occurrence form a cell (at most 27 strings, 76 bytes), so a string's gram, offset and cell are read off its
+own bytes wherever it stands.  The cells are the symbols of the text.  As one symbol spans at least 50 bytes, prefixes of one
+symbol decide: they are dealt out by gram, sorted, and equal neighbours begin with the same strings.  Where a gram has several
+cells (the edges of repeats), the strings of one cell of each kind are compared one by one.
+
+``suffixes.suffix_ranks`` sorts whole suffixes of such symbols by the difference-cover algorithm; at a length of 50 bytes its
+recursion and merge could not change a result, and the README has the figures of running them.
 """
 
 from __future__ import annotations
@@ -22,13 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import BLOCK_BYTES, U64, blocks, pack, prefix_hash, signed, span_hash, unpack, utf8
-from lodestone.llm.suffixes import ordered, suffix_ranks
 from lodestone.session import write_table
 
 WINDOW, GRAM = 50, 16
 GRAMS = WINDOW - GRAM + 1
 BUCKET_BYTES = 16 << 20  # text per bucket of grams
-CELLS = 1 << 26  # positions reserved for one block of text
 
 _BLOCKS = "block long, ids array<long>, sizes array<long>, text binary"
 
@@ -82,9 +82,10 @@ def cells(text: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     at = np.arange(len(data) - GRAM + 1)
     gram = span_hash(prefix, at, at + GRAM)
     least = (gram & U64(0xFFFFFFFF00000000)) | at.astype(U64)
-    for step in (1, 2, 4, 8, 16):
-        least = np.minimum(least[:-step], least[step:])
-    least = np.minimum(least[: len(least) - (GRAMS - 32)], least[GRAMS - 32:])  # of GRAMS grams from each start
+    wide = 1
+    while wide < GRAMS:  # the least of ``wide`` grams from each start
+        step = min(wide, GRAMS - wide)
+        least, wide = np.minimum(least[:-step], least[step:]), wide + step
     doc = np.flatnonzero(strings)
     first = np.cumsum(strings[doc]) - strings[doc]
     start = np.arange(total) + np.repeat((ends - sizes)[doc] - first, strings[doc])
@@ -112,81 +113,100 @@ def _dealt(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(k, pa.int64()), pa.array(d, pa.binary())], _DEALT)
 
 
-def _grams(buckets: int):
-    """Grams of every block by bucket, one of each in a document."""
+def _symbols(text: bytes, ids: list[int], sizes: list[int], buckets: int):
+    """Cells of a block, and its different symbols (gram and cell) with the smallest id that has each, dealt to buckets.
+
+    Returns cells (start, number of strings, document id, symbol), the first cell of each symbol, and for each bucket the
+    symbols that go there.  The order is the same whenever it is computed.
+    """
+    lo, n, gram, cell, owner = cells(text, np.array(sizes, np.int64))
+    doc = np.array(ids, np.int64)[owner] if len(owner) else owner
+    bucket = (gram % U64(buckets)).astype(np.int64)
+    name = ((gram >> U64(32)) << U64(32)) | (cell >> U64(32))
+    order = np.lexsort((doc, name, bucket))
+    new = np.append(True, (name[order][1:] != name[order][:-1]) | (bucket[order][1:] != bucket[order][:-1]))[: len(order)]
+    first = order[new]
+    symbol = np.empty(len(order), np.int64)
+    symbol[order] = np.cumsum(new) - 1
+    cut = np.flatnonzero(np.diff(bucket[first], prepend=-1))
+    dealt = [(int(bucket[first[x]]), x, y) for x, y in zip(cut, np.append(cut[1:], len(first)))] if len(first) else []
+    return (lo, n, doc, symbol), first, name, gram, dealt
+
+
+def _sent(buckets: int):
+    """The symbols of every block, one of each: name, and the smallest id as its distance from the smallest of the block."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, ids, sizes, text in zip(*(c.to_pylist() for c in batch.columns)):
-                _, _, gram, _, owner = cells(text, np.array(sizes, np.int64))
-                # What two documents of the block share is known here; other grams are sent once.
-                order = np.lexsort((owner, gram))
-                g, o = gram[order], np.array(ids, np.int64)[owner[order]] if len(gram) else owner
-                first = np.flatnonzero(np.diff(g.view(np.int64), prepend=~g[:1].view(np.int64))) if len(g) else np.zeros(0, np.int64)
-                several = np.minimum.reduceat(o, first) != np.maximum.reduceat(o, first) if len(first) else np.zeros(0, bool)
-                g = g[first]
-                yield _dealt(list(_deal((g % U64(buckets)).astype(np.int64), block, (g >> U64(32)).astype(np.uint32), (g & U64(0xFFFFFFFF)).astype(np.uint32), several)))
+                (_, _, doc, _), first, name, _, dealt = _symbols(text, ids, sizes, buckets)
+                base = min(ids)
+                away = (doc[first] - base).astype(U64)
+                high = (away >> U64(32)).astype(np.uint32)
+                yield _dealt([
+                    (b, block, pack(name[first[x:y]], (away[x:y] & U64(0xFFFFFFFF)).astype(np.uint32), high[x:y] if high[x:y].any() else high[:0], np.array([base])))
+                    for b, x, y in dealt])
     return run
 
 
-def _shared(key, rows):
-    """Of a bucket: for every block the grams that another document has too."""
-    parts = [unpack(d, "u4", "u4", "?") for d in rows.column("data").to_pylist()]
-    gram = np.concatenate([(p[0].astype(U64) << U64(32)) | p[1] for p in parts])
-    several = np.concatenate([p[2] for p in parts])
-    row = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-    order = np.argsort(gram, kind="stable")
-    g = gram[order]
-    first = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
-    size = np.diff(np.append(first, len(g)))
-    wanted = np.repeat((size > 1) | np.logical_or.reduceat(several[order], first), size)
-    keep = order[wanted]
-    keep = keep[np.argsort(row[keep], kind="stable")]
-    where, cut = np.unique(row[keep], return_index=True)
-    data = [pack(gram[k]) for k in np.split(keep, cut[1:])] if len(keep) else []
-    block = rows.column("block").to_numpy()[where]
-    return pa.table({"block": pa.array(block, pa.int64()), "grams": pa.array(data, pa.binary())})
-
+def _told(key, rows):
+    """Of a bucket: symbols are sorted, and equal neighbours begin with the same strings.
 
-_CELL = "pos long, byte int, n int, gram long, s0 long, s1 long, s2 long, doc long"
-
-
-def _symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cells with a shared gram, as neighbours where they are neighbours in the text, with the two symbols that follow."""
-    for batch in batches:
-        for block, ids, sizes, text, grams in zip(*(c.to_pylist() for c in batch.columns)):
-            lo, n, gram, symbol, owner = cells(text, np.array(sizes, np.int64))
-            known = np.sort(np.concatenate([unpack(g, "u8")[0] for g in grams]))
-            found = np.flatnonzero(known[np.minimum(np.searchsorted(known, gram), len(known) - 1)] == gram)
-            shared = np.zeros(len(gram) + 2, bool)
-            shared[found] = True
-            symbol, owner2 = signed(np.append(symbol, [U64(0), U64(0)])), np.append(owner, [-1, -2])
-            next1 = shared[found + 1] & (owner2[found + 1] == owner[found])
-            next2 = next1 & shared[found + 2] & (owner2[found + 2] == owner[found])
-            # Positions of a document's cells run on; a document starts at a new multiple of three past a gap.
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(block * CELLS + found + 3 * owner[found]), pa.array(lo[found].astype(np.int32)), pa.array(n[found].astype(np.int32)), pa.array(signed(gram[found])),
-                 pa.array(symbol[found]), pa.array(symbol[found + 1], mask=~next1), pa.array(symbol[found + 2], mask=~next2),
-                 pa.array(np.array(ids, np.int64)[owner[found]])], ["pos", "byte", "n", "gram", "s0", "s1", "s2", "doc"])
+    For every block the places of symbols that a smaller id has elsewhere, and of symbols whose smallest id is here while their
+    gram has other cells: only some of their strings may repeat.
+    """
+    parts = [unpack(d, "u8", "u4", "u4", "i8") for d in rows.column("data").to_pylist()]
+    sizes = np.array([len(p[0]) for p in parts])
+    name = np.concatenate([p[0] for p in parts])
+    away = np.concatenate([p[1].astype(np.int64) | (p[2].astype(np.int64) << 32 if len(p[2]) else 0) for p in parts])
+    doc = away + np.repeat([p[3][0] for p in parts], sizes)
+    order = np.argsort(name, kind="stable")
+    s, d = name[order], doc[order]
+    first = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+    run = np.diff(np.append(first, len(s)))
+    least = np.minimum.reduceat(d, first)
+    gram = s[first] >> U64(32)
+    of_gram = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+    kinds = np.diff(np.append(of_gram, len(gram)))
+    several = (kinds > 1) & (np.minimum.reduceat(least, of_gram) != np.maximum.reduceat(np.maximum.reduceat(d, first), of_gram))
+    several = np.repeat(np.repeat(several, kinds), run)
+    repeated, wanted = np.zeros(len(s), bool), np.zeros(len(s), bool)
+    repeated[order] = d > np.repeat(least, run)
+    wanted[order] = several & (d == np.repeat(least, run))
+    row = np.repeat(np.arange(len(parts)), sizes)
+    place = (np.arange(len(s)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.uint32)
+    some = np.flatnonzero(np.bincount(row[repeated | wanted], minlength=len(parts)))
+    cuts = np.cumsum(sizes)[:-1]
+    repeated, wanted, place = (np.split(x, cuts) for x in (repeated, wanted, place))
+    return pa.table({
+        "block": rows.column("block").to_numpy()[some], "bucket": pa.array([key[0].as_py()] * len(some), pa.int32()),
+        "repeated": pa.array([place[i][repeated[i]].tobytes() for i in some], pa.binary()), "wanted": pa.array([place[i][wanted[i]].tobytes() for i in some], pa.binary())})
+
+
+def _answers(told, dealt, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which symbols of a block are repeated, and which have strings to compare."""
+    start = {b: x for b, x, _ in dealt}
+    repeated, wanted = np.zeros(count, bool), np.zeros(count, bool)
+    for t in told or ():
+        repeated[start[t["bucket"]] + np.frombuffer(t["repeated"], np.uint32)] = True
+        wanted[start[t["bucket"]] + np.frombuffer(t["wanted"], np.uint32)] = True
+    return repeated, wanted
 
 
 def _strings(buckets: int):
     """Hashes of the strings of the wanted cells, by bucket of their gram."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, ids, sizes, text, wanted in zip(*(c.to_pylist() for c in batch.columns)):
+            for block, ids, sizes, text, told in zip(*(c.to_pylist() for c in batch.columns)):
+                (lo, n, doc, _), first, _, gram, dealt = _symbols(text, ids, sizes, buckets)
+                _, wanted = _answers(told, dealt, len(first))
+                own = first[wanted]
+                at, n, doc, bucket = lo[own], n[own], doc[own], (gram[own] % U64(buckets)).astype(np.int64)
                 prefix = prefix_hash(np.frombuffer(text, np.uint8))
-                at, n, gram = (np.array([w[k] for w in wanted], np.int64) for k in ("at", "n", "gram"))
-                start = np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                hashes = span_hash(prefix, start, start + WINDOW)
-                doc = np.array(ids, np.int64)[np.searchsorted(np.cumsum(sizes), at, side="right")]
-                bucket = (gram.view(U64) % U64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                cut = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-                first = np.cumsum(n) - n
+                cut = np.flatnonzero(np.diff(bucket, prepend=-1))
                 rows = []
-                for own in np.split(order, cut[1:]):
-                    span = np.repeat(first[own] - (np.cumsum(n[own]) - n[own]), n[own]) + np.arange(n[own].sum())
-                    rows.append((int(bucket[own[0]]), block, pack(hashes[span], n[own].astype(np.uint8), at[own].astype(np.int32), doc[own])))
+                for k in np.split(np.arange(len(own)), cut[1:]) if len(own) else ():
+                    start = np.repeat(at[k] - (np.cumsum(n[k]) - n[k]), n[k]) + np.arange(n[k].sum())
+                    rows.append((int(bucket[k[0]]), block, pack(span_hash(prefix, start, start + WINDOW), n[k].astype(np.uint8), at[k].astype(np.int32), doc[k])))
                 yield _dealt(rows)
     return run
 
@@ -213,12 +233,18 @@ def _earlier(key, rows):
 _CUT = "id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
-def _cut(with_text: bool):
+def _cut(buckets: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, ids, sizes, text, marks in zip(*(c.to_pylist() for c in batch.columns)):
+            for _, ids, sizes, text, told, marks in zip(*(c.to_pylist() for c in batch.columns)):
                 data = np.frombuffer(text, np.uint8)
                 edge = np.zeros(len(data) + 1, np.int32)
+                (lo, n, doc, symbol), first, _, _, dealt = _symbols(text, ids, sizes, buckets)
+                repeated, _ = _answers(told, dealt, len(first))
+                if len(first):
+                    whole = np.flatnonzero(repeated[symbol] | (doc > doc[first][symbol]))
+                    np.add.at(edge, lo[whole], 1)
+                    np.add.at(edge, lo[whole] + n[whole] + WINDOW - 1, -1)
                 if marks:
                     at, n, bits = (np.array([m[k] for m in marks], np.int64) for k in ("at", "n", "bits"))
                     first = np.cumsum(n) - n
@@ -253,27 +279,13 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """
     docs = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).where("id is not null")
     with text_blocks(docs) as (text, buckets):
-        grams = text.mapInArrow(_grams(buckets), "bucket int, block long, data binary")
-        shared = grams.groupBy("bucket").applyInArrow(_shared, "block long, grams binary")
-        shared = shared.groupBy("block").agg(F.collect_list("grams").alias("grams")).hint("shuffle_hash")
-        found = write_table(text.join(shared, "block").select("block", "ids", "sizes", "text", "grams").mapInArrow(_symbols, _CELL), "cells")
-
-        # One symbol spans at least 50 bytes, so the first symbol is all that has to be in order.
-        ranks = suffix_ranks(found.select("pos", "s0", "s1", "s2"), depth=1)
-        placed = found.select("pos", "byte", "n", "gram", "s0", "doc").join(ranks, "pos")
-        runs = write_table(ordered(placed, ["rank"], "pos", ("byte", "n", "gram", "doc"), compare=["s0", "gram"]), "runs")
-        groups = write_table(runs.groupBy("name", "gram").agg(F.min("doc").alias("first"), F.max("doc").alias("last")), "groups")
-        several = groups.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("first").alias("x"), F.max("last").alias("y")).where("kinds > 1 and x <> y").select("gram", F.lit(True).alias("several"))
-        groups = groups.join(several, "gram", "left")
-        block = F.floor(F.col("pos") / CELLS).alias("block")
-        told = write_table(
-            runs.join(groups.where("first <> last or several").select("name", "first", "several"), "name")
-            .select(block, F.col("byte").alias("at"), "n", "gram", (F.col("doc") > F.col("first")).alias("repeated"), F.coalesce("several", F.lit(False)).alias("several")), "told")
-
-        wanted = told.where("not repeated and several").groupBy("block").agg(F.collect_list(F.struct("at", "n", "gram")).alias("wanted")).hint("shuffle_hash")
-        strings = text.join(wanted, "block").select("block", "ids", "sizes", "text", "wanted").mapInArrow(_strings(buckets), "bucket int, block long, data binary")
+        symbols = text.mapInArrow(_sent(buckets), "bucket int, block long, data binary")
+        told = symbols.groupBy("bucket").applyInArrow(_told, "block long, bucket int, repeated binary, wanted binary")
+        told = write_table(told.groupBy("block").agg(F.collect_list(F.struct("bucket", "repeated", "wanted")).alias("told")), "told")
+        columns = ["block", "ids", "sizes", "text", "told"]
+        strings = text.join(told.hint("shuffle_hash"), "block").select(columns).mapInArrow(_strings(buckets), "bucket int, block long, data binary")
         partly = strings.groupBy("bucket").applyInArrow(_earlier, "block long, at int, n int, bits long")
-        wholly = told.where("repeated").select("block", "at", "n", F.lit(-1).cast("long").alias("bits"))
-        marks = wholly.union(partly).groupBy("block").agg(F.collect_list(F.struct("at", "n", "bits")).alias("marks")).hint("shuffle_hash")
-        done = text.join(marks, "block", "left").select("block", "ids", "sizes", "text", "marks").mapInArrow(_cut(with_text), _CUT)
+        marks = partly.groupBy("block").agg(F.collect_list(F.struct("at", "n", "bits")).alias("marks"))
+        answers = told.join(marks, "block", "left").hint("shuffle_hash")
+        done = text.join(answers, "block", "left").select(*columns, "marks").mapInArrow(_cut(buckets, with_text), _CUT)
         return write_table(done, "cut").withColumnRenamed("id", id_column)
