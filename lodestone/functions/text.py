@@ -131,7 +131,7 @@ def specific_categories(c) -> Column:
 
 def _nodes_below_root(c) -> Column:
     path = F.coalesce(_col(c), _empty_strings())
-    below = F.when(F.size(path) > 1, F.slice(path, 2, 1000)).otherwise(_empty_strings())
+    below = F.when(F.size(path) > 1, F.slice(path, F.lit(2), F.size(path) - 1)).otherwise(_empty_strings())
     return F.transform(below, normalized)
 
 
@@ -181,7 +181,8 @@ def price_number(c) -> Column:
     raw = F.trim(_col(c))
     plain_number = F.when(raw.rlike(r"^[+]?[0-9]*\.?[0-9]+([eE][-+]?[0-9]+)?$"), raw.cast("double"))
     bound = F.regexp_extract(raw, r"(?i)^from\s+([0-9]+(?:\.[0-9]+)?)$", 1)
-    return F.coalesce(plain_number, F.when(bound != "", bound.cast("double")))
+    number = F.coalesce(plain_number, F.when(bound != "", bound.cast("double")))
+    return F.when(F.abs(number) < float("inf"), number)
 
 
 def price_is_lower_bound(c) -> Column:

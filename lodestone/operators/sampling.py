@@ -189,7 +189,7 @@ def constraint_cards(catalog: DataFrame, limit: int = 180) -> DataFrame:
         F.when(material.isNotNull() & color.isNotNull(), F.concat(F.array(material, color_entry), F.col("flat")))
         .when(material.isNotNull(), F.concat(F.array(material), F.col("flat")))
         .when(color.isNotNull(), F.concat(
-            F.slice("flat", 1, 1), F.array(color_entry), F.when(F.size("flat") > 1, F.slice("flat", 2, 100_000)).otherwise(empty)))
+            F.slice("flat", 1, 1), F.array(color_entry), F.when(F.size("flat") > 1, F.slice("flat", F.lit(2), F.size("flat") - 1)).otherwise(empty)))
         .otherwise(F.col("flat"))
     )
     budget = F.when(F.col("price").isNotNull() & (F.col("price") != ""), F.array(F.concat(F.lit("budget around $"), F.col("price")))).otherwise(empty)

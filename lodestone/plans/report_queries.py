@@ -280,11 +280,19 @@ SWEEP_CONFIGS = {
 }
 
 
+# The stronger pull towards the mean changes one component only: the tail of the default SQL over another rating column.
+_TAIL = components_sql(scale="4.0")
+SHRUNK = "comp_shrunk AS (" + _TAIL[_TAIL.index("comp AS (") + 9:].replace("FROM comp)", "FROM comp_shrunk)").replace("FROM blend)", "FROM blend_shrunk)").replace(
+    "blend AS (", "blend_shrunk AS (").replace("scored AS (", "scored_shrunk AS (")
+
+
 @query("weight_sweep", f"""WITH {CANDIDATES}, {components_sql().replace('scored AS (', 'scored_default AS (')},
+{SHRUNK},
 all_scored AS (
   SELECT 'default' AS config_id, query_id, parent_asin, lexical_rank, score FROM scored_default
   UNION ALL SELECT 'heavy_price', query_id, parent_asin, lexical_rank,
-    round(CASE WHEN budget_max IS NOT NULL THEN (1 - 0.4::DOUBLE) * ordinary + 0.4::DOUBLE * price_fit ELSE ordinary END, 9) FROM blend),
+    round(CASE WHEN budget_max IS NOT NULL THEN (1 - 0.4::DOUBLE) * ordinary + 0.4::DOUBLE * price_fit ELSE ordinary END, 9) FROM blend
+  UNION ALL SELECT 'shrunk', query_id, parent_asin, lexical_rank, score FROM scored_shrunk),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY config_id, query_id ORDER BY {RANK_ORDER}) AS rank FROM all_scored) WHERE rank <= 10),
 qlab AS (SELECT intent || '|' || category || '|' || coalesce(constraint_text, '') AS query_id, target AS parent_asin FROM opened),
 grid AS (SELECT config_id, query_id, parent_asin FROM qlab, (SELECT DISTINCT config_id FROM all_scored)),
@@ -293,7 +301,7 @@ o AS (SELECT config_id, rank IS NOT NULL AS hit, CASE WHEN rank IS NOT NULL THEN
 m AS (SELECT config_id, {METRIC_COLUMNS} FROM o GROUP BY 1), f AS (SELECT {WITH_SCORE} FROM m)
 SELECT *, row_number() OVER (ORDER BY score DESC, config_id) AS place FROM f""")
 def weight_sweep(spark, sf_dir):
-    configs = SC.config_table(spark, {k: v for k, v in SWEEP_CONFIGS.items() if k != "shrunk"})
+    configs = SC.config_table(spark, SWEEP_CONFIGS)
     return E.sweep(
         N.opening_candidates(spark, sf_dir), N.opening_queries(spark, sf_dir), N.part_products(spark, sf_dir), N.part_stats(spark, sf_dir),
         configs, N.session_openings(spark, sf_dir).select("query_id", "target"))

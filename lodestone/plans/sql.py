@@ -123,20 +123,20 @@ MESSAGE_QUERIES = (
     "SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn + 1 AS VARCHAR) AS query_id, text AS query_text "
     "FROM conversations WHERE role = 'user'")
 
-# Shopping sessions: one per customer, one turn per order.
+# Shopping sessions: a customer's orders by tens, one turn per order.
 TURNS = """
 first_part AS (SELECT l_orderkey, min(l_partkey) AS p_partkey FROM lineitem GROUP BY 1),
 numbered AS (
   SELECT o_custkey, o_orderpriority[1] AS u, p_name, p_brand, p_type, p_retailprice, part.p_partkey,
-         row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS turn
+         row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS number, number % 10 + 1 AS turn
   FROM orders JOIN first_part ON l_orderkey = o_orderkey JOIN part ON part.p_partkey = first_part.p_partkey),
 worded AS (
   SELECT *, upper(p_type[1]) || lower(p_type[2:]) || ' ' || upper(split_part(p_name, ' ', 2)[1]) || split_part(p_name, ' ', 2)[2:] AS cat,
          split_part(p_name, ' ', 1) AS word, CAST(p_retailprice AS VARCHAR) AS price,
          ['material', 'color', 'style', 'size', 'budget', 'feature', 'use_case'][(turn - 2) % 7 + 1] AS asked
-  FROM numbered WHERE turn <= 10),
+  FROM numbered),
 turns AS (
-  SELECT CAST(o_custkey AS VARCHAR) AS session_id, turn, u, cat, word, price, p_brand, CAST(p_partkey AS VARCHAR) AS target,
+  SELECT CAST(o_custkey AS VARCHAR) || '-' || CAST(number // 10 AS VARCHAR) AS session_id, turn, u, cat, word, price, p_brand, CAST(p_partkey AS VARCHAR) AS target,
     CASE WHEN turn > 1 THEN asked END AS last_asked_attribute,
     CASE WHEN turn = 1 THEN CASE u
       WHEN '1' THEN 'I''m looking for ' || cat || '. A key requirement is: ' || word || '.'

@@ -72,16 +72,20 @@ def user_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shopping_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One session per customer, one turn per order: the order's priority picks the form of the message."""
+    """A customer's orders as sessions of ten turns, one turn per order: the order's priority picks the form of the message.
+
+    An eleventh order opens the customer's next session, so every order with lines is a turn of some session.
+    """
     first_part = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min("l_partkey").alias("p_partkey"))
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_retailprice")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     by_date = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     rows = (
         orders.join(first_part, orders.o_orderkey == first_part.l_orderkey).join(part, "p_partkey")
-        .withColumn("turn", F.row_number().over(by_date))
-        .filter(F.col("turn") <= V.MAX_TURNS)
+        .withColumn("number", F.row_number().over(by_date) - 1)
+        .withColumn("turn", F.col("number") % V.MAX_TURNS + 1)
     )
+    session = F.concat_ws("-", F.col("o_custkey").cast("string"), F.floor(F.col("number") / V.MAX_TURNS).cast("string"))
     words = F.split("p_name", " ")
     category = F.concat(F.initcap("p_type"), F.lit(" "), F.initcap(words[1]))
     price = F.col("p_retailprice").cast("string")
@@ -101,7 +105,7 @@ def shopping_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise("Those options are not quite right yet. Ask me about one specific attribute.")
     )
     return rows.select(
-        F.col("o_custkey").cast("string").alias("session_id"),
+        session.alias("session_id"),
         F.col("turn").cast("int").alias("turn"),
         F.when(F.col("turn") == 1, opening).otherwise(reply).alias("message"),
         F.when(F.col("turn") > 1, asked).alias("last_asked_attribute"),
@@ -109,6 +113,17 @@ def shopping_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def order_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Session and turn of every line item as a careless client would send them: one session per customer, turns without end.
+
+    Orders with several lines repeat their turn.
+    """
+    by_date = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.row_number().over(by_date).alias("turn"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey")
+    return orders.join(lines, orders.o_orderkey == lines.l_orderkey).select(F.col("o_custkey").cast("string").alias("session_id"), "turn")
+
+
 def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as purchase records, with the buyer's up to four earlier parts as history text.
 
