@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import BLOCK_BYTES, U64, blocks, pack, prefix_hash, signed, span_hash, unpack, utf8
 from lodestone.session import write_table
 
-WINDOW, GRAM = 50, 16
+WINDOW, GRAM = 50, 24
 GRAMS = WINDOW - GRAM + 1
 BUCKET_BYTES = 16 << 20  # text per bucket of grams
 
