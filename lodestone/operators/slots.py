@@ -152,11 +152,15 @@ def mask_registry(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "slot string, value string, bit bigint")
 
 
-def evidence_masks(slots: DataFrame) -> DataFrame:
-    """One bit mask per mask slot and product, over reliable evidence."""
+def evidence_masks(slots: DataFrame, products: DataFrame | None = None) -> DataFrame:
+    """One bit mask per mask slot and product, over reliable evidence.
+
+    ``products`` (parent_asin) brings in products without any slot, whose masks are empty; without it, those of ``slots`` count.
+    """
     bits = reliable(slots).join(F.broadcast(mask_registry(slots.sparkSession)), ["slot", "value"])
     masks = [F.coalesce(F.bit_or(F.when(F.col("slot") == s, F.col("bit"))), F.lit(0)).alias(f"{s}_mask") for s in SV.MASK_SLOTS]
-    return slots.select("parent_asin").distinct().join(bits.groupBy("parent_asin").agg(*masks), "parent_asin", "left").select(
+    every = slots if products is None else products
+    return every.select("parent_asin").distinct().join(bits.groupBy("parent_asin").agg(*masks), "parent_asin", "left").select(
         "parent_asin", *[F.coalesce(f"{s}_mask", F.lit(0)).alias(f"{s}_mask") for s in SV.MASK_SLOTS])
 
 

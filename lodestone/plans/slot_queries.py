@@ -104,7 +104,7 @@ masks AS (SELECT parent_asin, {', '.join(
 
 @query("evidence_masks", f"WITH {MASKS_CTE} SELECT * FROM masks")
 def evidence_masks(spark, sf_dir):
-    return SL.evidence_masks(part_slots(spark, sf_dir))
+    return SL.evidence_masks(part_slots(spark, sf_dir), N.part_products(spark, sf_dir))
 
 
 @query("evidence_table_checks", f"WITH {MASKS_CTE} SELECT count(*)::BIGINT AS rows, 0::BIGINT AS repeated_ids, 0::BIGINT AS outside_registry FROM masks")
