@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
 from lodestone.functions import vocab as V
+from lodestone.session import write_table
 
 # Fractions of the percentile summary.
 FRACTIONS = {"p10": 0.10, "p25": 0.25, "p50": 0.50, "p75": 0.75, "p90": 0.90, "p95": 0.95, "p99": 0.99}
@@ -134,9 +135,11 @@ def nearest_rank_summary(values: DataFrame) -> DataFrame:
     sampled quantiles; running counts are made within a range, so no task sees more than a small part of a measure.
     """
     counted = values.filter("value is not null").groupBy("measure", "value").agg(F.count("*").alias("n"))
+    # Counts and cuts are written once: ranges, offsets and ranks read the same ones.
+    counted = write_table(counted, "counted")
     totals = counted.groupBy("measure").agg(
         F.sum("n").alias("count"), F.sum(F.col("n") * F.col("value")).alias("total"), F.min("value").alias("min"), F.max("value").alias("max"))
-    cuts = counted.groupBy("measure").agg(F.percentile_approx("value", [i / 256 for i in range(1, 256)], 4096).alias("cuts"))
+    cuts = write_table(counted.groupBy("measure").agg(F.percentile_approx("value", [i / 256 for i in range(1, 256)], 4096).alias("cuts")), "cuts")
     ranged = counted.join(F.broadcast(cuts), "measure").withColumn(
         "range", F.size(F.filter("cuts", lambda c: c < F.col("value")))).drop("cuts")
     per_range = ranged.groupBy("measure", "range").agg(F.sum("n").alias("range_n"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.session import write_table
+
 RANGES = 256
 
 
@@ -15,7 +17,8 @@ def running_counts(rows: DataFrame, groups: list[str], value: str) -> DataFrame:
     inside a range, and shifted by the sizes of the ranges before it.
     """
     counted = rows.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("n"))
-    cuts = counted.groupBy(*groups).agg(F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 4096).alias("_cuts"))
+    # Written once: ranges and offsets read the same cuts even where a task is computed again.
+    cuts = write_table(counted.groupBy(*groups).agg(F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 4096).alias("_cuts")), "cuts")
     ranged = counted.join(cuts, groups).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
     sizes = ranged.groupBy(*groups, "_range").agg(F.sum("n").alias("_n"))
     earlier = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

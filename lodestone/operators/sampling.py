@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
 from lodestone.functions import vocab as V
+from lodestone.session import write_table
 
 RANGES = 256
 
@@ -27,14 +28,15 @@ def exact_rank(df: DataFrame, key: str, tie: str, groups: tuple[str, ...] = (),
     ranges before it.  Keys are continuous here, so ranges come out even.
     """
     group_list = list(groups)
-    cuts = df.groupBy(*group_list).agg(F.percentile_approx(key, [i / RANGES for i in range(1, RANGES)], 4096).alias("_cuts"))
-    with_cuts = df.join(F.broadcast(cuts), group_list) if group_list else df.crossJoin(F.broadcast(cuts))
+    # Written once: ranges and offsets read the same cuts even where a task is computed again.
+    cuts = write_table(df.groupBy(*group_list).agg(F.percentile_approx(key, [i / RANGES for i in range(1, RANGES)], 4096).alias("_cuts")), "cuts")
+    with_cuts = df.join(cuts, group_list) if group_list else df.crossJoin(F.broadcast(cuts))
     ranged = with_cuts.withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(key)))).drop("_cuts")
     sizes = ranged.groupBy(*group_list, "_range").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*(group_list or [F.lit(1)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*group_list, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = Window.partitionBy(*group_list, "_range").orderBy(key, tie)
-    return ranged.join(F.broadcast(offsets), [*group_list, "_range"]).withColumn(
+    return ranged.join(offsets if group_list else F.broadcast(offsets), [*group_list, "_range"]).withColumn(
         name, (F.row_number().over(inside) + F.col("_before")).cast("bigint")).drop("_range", "_before")
 
 
@@ -51,8 +53,9 @@ def weighted_sample(records: DataFrame, n: int, seed: int) -> DataFrame:
     """``n`` distinct products, drawn without replacement with weight = number of records (exponential race)."""
     weights = records.groupBy("parent_asin").agg(F.count("*").alias("weight"))
     raced = weights.withColumn("race", -F.log(uniform(seed, "parent_asin")) / F.col("weight"))
-    drawn = exact_rank(raced, "race", "parent_asin").filter(F.col("position") <= n)
-    return drawn.select("parent_asin", "weight", "position")
+    drawn = raced.orderBy("race", "parent_asin").limit(n)
+    order = Window.orderBy("race", "parent_asin")  # over the n drawn rows
+    return drawn.select("parent_asin", "weight", F.row_number().over(order).cast("bigint").alias("position"))
 
 
 def checked_sample_size(records: DataFrame, n: int) -> None:
