@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import gc
 import struct
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.session import write_table
+from lodestone.session import shared_dir
 
 U64 = np.uint64
 BLOCK_BYTES = 1 << 20  # text handled at once by one numpy step; bounds a worker's memory, not the results
@@ -21,6 +24,34 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").select(*columns)
 
 
+_SCRATCH: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``keep`` writes inside go at the end; what is returned must have been written outside or be read before."""
+    path = shared_dir(spark)
+    _SCRATCH.append(path)
+    try:
+        yield
+    finally:
+        _SCRATCH.remove(path)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again, which cuts its lineage; the shuffle files behind it are let go."""
+    spark = df.sparkSession
+    path = f"{_SCRATCH[-1] if _SCRATCH else shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark._jvm.System.gc()
+    return out
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """The texts as UTF-8 bytes, null as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -156,7 +187,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges are never gathered in one group.  Every round is written to the shared folder.
     """
     spark = edges.sparkSession
-    e = write_table(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    e = keep(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     state = None
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -165,7 +196,7 @@ def components(edges: DataFrame) -> DataFrame:
         e = e.where("u <> v")
         least = e.groupBy("u").agg(F.min("v").alias("m"))
         small = e.join(least, "u")
-        e = write_table(
+        e = keep(
             small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
             .where("u <> v").distinct(), "edges")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

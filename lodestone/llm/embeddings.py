@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import components, prefix_hash, signed, span_hash
+from lodestone.llm.common import components, keep, prefix_hash, scratch, signed, span_hash
 from lodestone.session import write_table
 
 COUNT = 2  # collisions that make a candidate
@@ -142,20 +142,14 @@ def _verified(cosine: float):
     return run
 
 
-def linked_vectors(df: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", cosine: float = 0.9) -> DataFrame:
-    """(id, n_links, component_id, kept) per row.
-
-    Vectors that are null, empty, zero or hold a null or non-finite component link with nothing.  Vectors of different lengths
-    do not link.  Equal vectors are one class and linked with each other; rows with a null id come back without links.
-    """
-    df = df.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("vector"))
-    vectors = write_table(df.where("id is not null").mapInArrow(_vectors, "id long, size int, k1 long, vector binary"), "vectors")
-    classes = write_table(vectors.groupBy("size", "k1", "vector").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
+def _linked(df: DataFrame, cosine: float) -> DataFrame:
+    vectors = keep(df.where("id is not null").mapInArrow(_vectors, "id long, size int, k1 long, vector binary"), "vectors")
+    classes = keep(vectors.groupBy("size", "k1", "vector").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
     n = classes.count()
     tail, count = calibrate(n, cosine)
 
     reps = classes.select(F.col("rep").alias("id"), "size", "vector")
-    tails = write_table(reps.repartition("id").mapInArrow(_tails(tail, count), "size int, direction int, value float, id long"), "tails")
+    tails = keep(reps.repartition("id").mapInArrow(_tails(tail, count), "size int, direction int, value float, id long"), "tails")
     lists = tails.groupBy("size", "direction").agg(F.ceil(F.count("*") / LIST).cast("int").alias("blocks"))
     dealt = tails.join(lists, ["size", "direction"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     k = F.col("block")
@@ -166,7 +160,7 @@ def linked_vectors(df: DataFrame, id_column: str = "vec_id", vector_column: str
     candidates = collisions.groupBy("a", "b").agg(F.count("*").alias("hits")).where(F.col("hits") >= COUNT)
     both = candidates.select("a", "b").join(reps.select(F.col("id").alias("a"), F.col("vector").alias("va")), "a").join(
         reps.select(F.col("id").alias("b"), F.col("vector").alias("vb")), "b")
-    links = write_table(both.mapInArrow(_verified(cosine), "a long, b long"), "links")
+    links = keep(both.mapInArrow(_verified(cosine), "a long, b long"), "links")
 
     copies = classes.select(F.col("rep").alias("b"), "copies")
     each = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(copies, "b")
@@ -179,5 +173,16 @@ def linked_vectors(df: DataFrame, id_column: str = "vec_id", vector_column: str
     result = df.select("id").join(member.dropDuplicates(["id"]), "id", "left")
     component = F.coalesce("component", "id")
     return result.select(
-        F.col("id").alias(id_column), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
+        "id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
         F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+
+
+def linked_vectors(df: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", cosine: float = 0.9) -> DataFrame:
+    """(id, n_links, component_id, kept) per row.
+
+    Vectors that are null, empty, zero or hold a null or non-finite component link with nothing.  Vectors of different lengths
+    do not link.  Equal vectors are one class and linked with each other; rows with a null id come back without links.
+    """
+    df = df.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("vector"))
+    with scratch(df.sparkSession):
+        return write_table(_linked(df, cosine), "linked").withColumnRenamed("id", id_column)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.llm.common import U64, blocks, components, mix, pack, signed, unpack, utf8, word_hashes
+from lodestone.llm.common import U64, blocks, components, keep, mix, scratch, signed, utf8, word_hashes
 from lodestone.session import write_table
 
 SHINGLE = 5
@@ -156,7 +156,7 @@ def _likely_pairs(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFr
 def _set_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Shingle sets of the texts in ``ids``; the texts are dealt by id at every size, so their shuffle grows as they do."""
     wanted = docs.join(ids.distinct().hint("shuffle_hash"), "id", "left_semi").select("id", "text")
-    return write_table(wanted.mapInArrow(_sets, "id long, shingles binary"), "sets")
+    return keep(wanted.mapInArrow(_sets, "id long, shingles binary"), "sets")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -165,7 +165,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), "a")
         .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b")
     )
-    return write_table(both.mapInArrow(_confirmed(percent), "a long, b long"), "links")
+    return keep(both.mapInArrow(_confirmed(percent), "a long, b long"), "links")
 
 
 def _between(percent: int):
@@ -206,35 +206,28 @@ def _between(percent: int):
     return search
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = 80) -> DataFrame:
-    """(id, n_shingles, component_id, kept) per row of ``docs``; links need 100 * intersection >= percent * union.
-
-    Null, empty and white-space texts have an empty set and link with nothing; rows with the same id are rows of their own with
-    one component; rows with a null id come back with null component and kept true.  Extra columns are ignored.
-    """
-    spark = docs.sparkSession
-    docs = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    sketches = write_table(docs.mapInArrow(_sketch, "id long, n long, k1 long, k2 long, sig binary"), "sketches")
+def _classes(docs: DataFrame, percent: int) -> DataFrame:
+    sketches = keep(docs.mapInArrow(_sketch, "id long, n long, k1 long, k2 long, sig binary"), "sketches")
     full = sketches.where("n > 0 and id is not null")
-    classes = write_table(full.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep")), "classes")
-    reps = write_table(
+    classes = keep(full.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep")), "classes")
+    reps = keep(
         full.select("id", "n", "k1", "k2", "sig").join(classes.select(F.col("rep").alias("id"), "k1", "k2", "n"), ["id", "k1", "k2", "n"], "left_semi")
         .dropDuplicates(["id", "k1", "k2"]), "reps").select("id", "n", "sig")
 
-    forest = write_table(reps.select("id", "sig").mapInArrow(_forest, "region long, path long, rep long"), "forest")
+    forest = keep(reps.select("id", "sig").mapInArrow(_forest, "region long, path long, rep long"), "forest")
     order = Window.partitionBy("region").orderBy("path", "rep")
     near = F.collect_list("rep").over(order.rowsBetween(1, NEIGHBOURS))
     found = forest.select("rep", near.alias("near")).where(F.size("near") > 0)
     found = found.select("rep", F.posexplode("near").alias("step", "other")).where("rep <> other")
-    candidates = write_table(
+    candidates = keep(
         found.groupBy(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).agg(F.min("step").alias("step")), "candidates")
 
-    likely = write_table(_likely_pairs(candidates, reps, percent), "likely")
+    likely = keep(_likely_pairs(candidates, reps, percent), "likely")
     crowded = forest.groupBy("region").agg(F.count("*").alias("members")).where(F.col("members") > NEIGHBOURS + 1)
-    crowd = write_table(forest.join(crowded, "region").select("region", "members", F.col("rep").alias("id")), "crowd")
+    crowd = keep(forest.join(crowded, "region").select("region", "members", F.col("rep").alias("id")), "crowd")
     sets = _set_table(docs, likely.select(F.col("a").alias("id")).union(likely.select("b")).union(crowd.select("id")))
     links = _confirm(likely.where("step = 0").select("a", "b"), sets, percent)
-    labels = write_table(components(links), "labels")
+    labels = keep(components(links), "labels")
 
     def label(df: DataFrame, column: str, name: str) -> DataFrame:
         side = labels.select(F.col("id").alias(column), F.col("component").alias(name))
@@ -242,22 +235,32 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     apart = label(label(likely.where("step > 0").select("a", "b"), "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
     links = links.union(_confirm(apart, sets, percent))
-    labels = write_table(components(links), "labels")
+    labels = keep(components(links), "labels")
 
     inside = label(crowd, "id", "component")
     split = inside.groupBy("region").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("region")
     inside = inside.join(split, "region").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    inside = write_table(inside.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).join(sets, "id"), "inside")
+    inside = keep(inside.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).join(sets, "id"), "inside")
     left = inside.withColumn("against", F.explode(F.sequence("block", F.col("blocks") - 1)))
     right = inside.withColumn("against", F.col("block")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("block"))))
     keys, columns = ["region", "block", "against"], ["region", "block", "against", "id", "component", "shingles"]
     beyond = left.select(columns).groupBy(keys).cogroup(right.select(columns).groupBy(keys)).applyInArrow(_between(percent), "a long, b long")
-    links = links.union(write_table(beyond, "links"))
-    labels = write_table(components(links), "labels")
+    links = links.union(keep(beyond, "links"))
+    labels = keep(components(links), "labels")
 
     of_class = classes.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select(
         "k1", "k2", "n", F.coalesce("component", "rep").alias("component"))
     return sketches.join(of_class, ["k1", "k2", "n"], "left").select(
-        F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"),
+        "id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"),
         F.coalesce(F.coalesce("component", "id") == F.col("id"), F.lit(True)).alias("kept"))
 
+
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = 80) -> DataFrame:
+    """(id, n_shingles, component_id, kept) per row of ``docs``; links need 100 * intersection >= percent * union.
+
+    Null, empty and white-space texts have an empty set and link with nothing; rows with the same id are rows of their own with
+    one component; rows with a null id come back with null component and kept true.  Extra columns are ignored.
+    """
+    docs = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
+    with scratch(docs.sparkSession):
+        return write_table(_classes(docs, percent), "classes").withColumnRenamed("id", id_column)

@@ -20,8 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.llm.common import utf8
-from lodestone.session import write_table
+from lodestone.llm.common import keep, utf8
 
 LENGTH = 1024
 UNIT = 4
@@ -89,15 +88,17 @@ def _tokens(path: str):
 
 def price(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     """The most valuable pattern: an unbounded knapsack by dynamic programming over the filled units."""
+    order = np.argsort(sizes, kind="stable")
+    small, worth = sizes[order], values[order]
+    fits = np.searchsorted(small, np.arange(capacity + 1), side="right")
     best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
     for w in range(1, capacity + 1):
-        best[w] = best[w - 1]
-        usable = np.flatnonzero(sizes <= w)
-        if len(usable):
-            total = best[w - sizes[usable]] + values[usable]
-            j = int(total.argmax())
+        best[w], n = best[w - 1], fits[w]
+        if n:
+            total = best[w - small[:n]] + worth[:n]
+            j = total.argmax()
             if total[j] > best[w] + 1e-12:
-                best[w], last[w] = total[j], usable[j]
+                best[w], last[w] = total[j], order[j]
     pattern, w = np.zeros(len(sizes), np.int64), capacity
     while w > 0:
         if last[w] < 0:
@@ -108,7 +109,7 @@ def price(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float,
     return float(best[capacity]), pattern
 
 
-def cutting_stock(sizes: np.ndarray, counts: np.ndarray, capacity: int, tolerance: float = 1e-4) -> list[tuple[int, np.ndarray]]:
+def cutting_stock(sizes: np.ndarray, counts: np.ndarray, capacity: int, tolerance: float = 1e-3) -> list[tuple[int, np.ndarray]]:
     """(copies, pattern) pairs that hold every item: the rounded linear program, then the rest largest first.
 
     ``sizes`` and ``capacity`` in units.  Column generation ends when no pattern is worth more than ``1 + tolerance``
@@ -196,7 +197,7 @@ def packed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
         path = public_tokenizers.path("byte_bpe_50k.json")
     kind = docs.schema[id_column].dataType.simpleString()
     schema = f"id {kind}, part int, row long, tokens long, wholes long, crcs array<long>"
-    tokens = write_table(docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(_tokens(path), schema), "tokens")
+    tokens = keep(docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(_tokens(path), schema), "tokens")
 
     rests = tokens.where(F.col("tokens") % LENGTH > 0).withColumn("kind", F.ceil(F.col("tokens") % LENGTH / UNIT).cast("long"))
     counts = rests.groupBy("kind", "part").count()

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import BLOCK_BYTES, U64, blocks, pack, prefix_hash, signed, span_hash, unpack, utf8
+from lodestone.llm.common import BLOCK_BYTES, U64, blocks, keep, pack, prefix_hash, scratch, signed, span_hash, unpack, utf8
 from lodestone.session import write_table
 
 WINDOW, GRAM = 50, 24
@@ -278,14 +278,14 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     not be null (such rows are left out).
     """
     docs = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).where("id is not null")
-    with text_blocks(docs) as (text, buckets):
+    with scratch(docs.sparkSession), text_blocks(docs) as (text, buckets):
         symbols = text.mapInArrow(_sent(buckets), "bucket int, block long, data binary")
         told = symbols.groupBy("bucket").applyInArrow(_told, "block long, bucket int, repeated binary, wanted binary")
-        told = write_table(told.groupBy("block").agg(F.collect_list(F.struct("bucket", "repeated", "wanted")).alias("told")), "told")
+        told = keep(told.groupBy("block").agg(F.collect_list(F.struct("bucket", "repeated", "wanted")).alias("told")), "told")
         columns = ["block", "ids", "sizes", "text", "told"]
         strings = text.join(told.hint("shuffle_hash"), "block").select(columns).mapInArrow(_strings(buckets), "bucket int, block long, data binary")
         partly = strings.groupBy("bucket").applyInArrow(_earlier, "block long, at int, n int, bits long")
         marks = partly.groupBy("block").agg(F.collect_list(F.struct("at", "n", "bits")).alias("marks"))
         answers = told.join(marks, "block", "left").hint("shuffle_hash")
         done = text.join(answers, "block", "left").select(*columns, "marks").mapInArrow(_cut(buckets, with_text), _CUT)
-        return write_table(done, "cut").withColumnRenamed("id", id_column)
+        return write_table(done, "cut", compression="zstd").withColumnRenamed("id", id_column)

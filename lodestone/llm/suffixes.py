@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.session import write_table
+from lodestone.llm.common import keep
 
 
 
@@ -51,7 +51,7 @@ def ordered(df: DataFrame, keys: list[str], unique: str, keep: tuple[str, ...] =
     names = [k for k in dict.fromkeys([*keys, *compare]) if k not in keep]
     fields = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep] + [f"`{c}` long" for c in names]
     sort = df.select(*keep, *names).repartitionByRange(*keys, unique).sortWithinPartitions(*keys, unique)
-    rows = write_table(sort.mapInArrow(_numbered(names, keep, compare), ", ".join([*fields, "part int", "row long", "new boolean"])), "sorted")
+    rows = keep(sort.mapInArrow(_numbered(names, keep, compare), ", ".join([*fields, "part int", "row long", "new boolean"])), "sorted")
     edge = F.struct(*compare)
     parts = rows.groupBy("part").agg(
         F.count("*").alias("n"), F.count_if("new").alias("distinct"), F.min_by(edge, "row").alias("first"), F.max_by(edge, "row").alias("last"))
@@ -88,9 +88,9 @@ def suffix_ranks(symbols: DataFrame, depth: int | None = None) -> DataFrame:
     triples = symbols.select(
         "pos", "s0", F.coalesce(F.when(F.col("s1").isNull(), 0), F.lit(1)).cast("long").alias("f1"), F.coalesce("s1", F.col("pos") + 1).alias("s1"),
         F.coalesce(F.when(F.col("s2").isNull(), 0), F.lit(1)).cast("long").alias("f2"), F.coalesce("s2", F.col("pos") + 2).alias("s2"))
-    triples = write_table(triples, "triples")
+    triples = keep(triples, "triples")
     sample = triples.where("pmod(pos, 3) <> 0")
-    names = write_table(ordered(sample, ["s0", "f1", "s1", "f2", "s2"], "pos").select("pos", "at", "name"), "names")
+    names = keep(ordered(sample, ["s0", "f1", "s1", "f2", "s2"], "pos").select("pos", "at", "name"), "names")
     n, distinct = names.agg(F.count("*"), F.max("name")).first()
     if not n:
         return triples.select("pos", F.lit(0).cast("long").alias("rank")) if triples.isEmpty() else ordered(triples, ["s0"], "pos").select("pos", F.col("at").alias("rank"))
@@ -103,7 +103,7 @@ def suffix_ranks(symbols: DataFrame, depth: int | None = None) -> DataFrame:
         place = F.floor(F.col("pos") / 3).cast("long") - low + F.when(F.pmod("pos", F.lit(3)) == 2, span + (-span) % 3).otherwise(0)
         inner = names.select(place.alias("pos"), F.col("name").alias("s0"))
         found = suffix_ranks(inner, None if depth is None else -(-depth // 3))
-        ranks = write_table(names.select("pos", place.alias("place")).join(found.withColumnRenamed("pos", "place"), "place").select("pos", "rank"), "ranks")
+        ranks = keep(names.select("pos", place.alias("place")).join(found.withColumnRenamed("pos", "place"), "place").select("pos", "rank"), "ranks")
     rest = triples.where("pmod(pos, 3) = 0")
     one = triples.where("pmod(pos, 3) = 1").select("pos", "s0", F.lit(1).cast("long").alias("kind"))
     two = triples.where("pmod(pos, 3) = 2")
@@ -114,7 +114,7 @@ def suffix_ranks(symbols: DataFrame, depth: int | None = None) -> DataFrame:
     pair = ["pos", "s0", "f1", "s1"]
     both = rest.select(*pair, F.lit(0).cast("long").alias("kind")).union(two.select(*pair, F.lit(2).cast("long").alias("kind")))
     second = ordered(_next(both, ranks, 2, "r2"), ["s0", "f1", "s1", "r2"], "pos", ("kind",))
-    first, second = write_table(_counted(first), "first"), write_table(_counted(second), "second")
+    first, second = keep(_counted(first), "first"), keep(_counted(second), "second")
     sampled = ranks.join(
         first.where("kind = 1").select("pos", "others").union(second.where("kind = 2").select("pos", "others")), "pos").select("pos", (F.col("rank") + F.col("others")).alias("rank"))
     others = first.where("kind = 0").select("pos", F.col("others").alias("a"), F.col("own").alias("own")).join(
