@@ -3,7 +3,7 @@
 Equal lines are one class.  A line is split into ``edits + 1`` segments of almost equal length; a line within the edit distance
 must contain one of them unchanged, at a place that the lengths of both lines confine.  Segments are indexed by line length and
 segment number, substrings of a line are probed at the confined places only, and both meet by hash.  Candidates pass a sketch of
-character counts (an edit changes the parity of two counts at most) and are verified by a banded bit-parallel edit distance.
+character pairs (an edit changes the parity of four counts at most) and are verified by a banded bit-parallel edit distance.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import U64, char_prefix, char_span, components, mix, signed, unpack
+from lodestone.llm.common import U64, char_prefix, char_span, components, keep, mix, scratch, signed, unpack
 from lodestone.llm.repeats import _deal, _dealt, text_blocks
 from lodestone.session import write_table
 
@@ -76,10 +76,12 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sketches(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Parities of 32 classes of characters."""
-    bit = np.uint32(1) << (mix(data.astype(U64)) & U64(31)).astype(np.uint32)
-    running = np.concatenate((np.zeros(1, np.uint32), np.bitwise_xor.accumulate(bit))) if len(data) else np.zeros(1, np.uint32)
-    return running[ends] ^ running[starts]
+    """Parities of 64 classes of neighbouring characters; lines have two characters at least."""
+    if len(data) < 2:
+        return np.zeros(len(starts), U64)
+    bit = U64(1) << (mix(data[:-1].astype(U64) << U64(32) | data[1:].astype(U64)) & U64(63))
+    running = np.concatenate((np.zeros(1, U64), np.bitwise_xor.accumulate(bit)))
+    return running[ends - 1] ^ running[starts]
 
 
 def _keys(buckets: int, edits: int):
@@ -109,33 +111,34 @@ def _keys(buckets: int, edits: int):
                     own = np.flatnonzero(applies & (length - gap >= LEAST))
                     add(1, starts[own] + start[own], size[own], length[own] - gap, i, own)
                 key, own = np.concatenate(keys), np.concatenate(owners)
-                yield _dealt(list(_deal(((key >> U64(1)) % U64(buckets)).astype(np.int64), block, key, line[own], sketch[own])))
+                short = ((key >> U64(32)) & U64(0xFFFFFFFE) | (key & U64(1))).astype(np.uint32)
+                yield _dealt(list(_deal(((key >> U64(1)) % U64(buckets)).astype(np.int64), block, short, line[own], sketch[own])))
     return run
 
 
 def _met(edits: int):
     """Of a bucket: pairs of lines, one indexed and one probed under the same key, whose sketches allow the distance."""
     def run(key, rows):
-        parts = [unpack(d, "u8", "u8", "u4") for d in rows.column("data").to_pylist()]
+        parts = [unpack(d, "u4", "u8", "u8") for d in rows.column("data").to_pylist()]
         k, line, sketch = (np.concatenate([p[c] for p in parts]) for c in range(3))
         order = np.lexsort((line, k))
         k, line, sketch = k[order], line[order], sketch[order]
         new = np.append(True, (k[1:] != k[:-1]) | (line[1:] != line[:-1]))  # a line that several blocks hold counts once
         k, line, sketch = k[new], line[new], sketch[new]
-        group = k >> U64(1)
+        group = k >> np.uint32(1)
         first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
         last = np.append(first[1:], len(k))
-        middle = first + np.add.reduceat(1 - (k & U64(1)).astype(np.int64), first) if len(k) else first
+        middle = first + np.add.reduceat(1 - (k & np.uint32(1)).astype(np.int64), first) if len(k) else first
         some = np.flatnonzero((middle > first) & (middle < last))
         a, b = [], []
         for lo, mid, hi in zip(first[some].tolist(), middle[some].tolist(), last[some].tolist()):
             if hi - lo == 2:
-                if line[lo] != line[mid] and int(sketch[lo] ^ sketch[mid]).bit_count() <= 2 * edits:
+                if line[lo] != line[mid] and int(sketch[lo] ^ sketch[mid]).bit_count() <= 4 * edits:
                     a.append(line[lo:mid])
                     b.append(line[mid:hi])
                 continue
             for i in range(lo, mid):
-                near = np.flatnonzero((np.bitwise_count(sketch[mid:hi] ^ sketch[i]) <= 2 * edits) & (line[mid:hi] != line[i]))
+                near = np.flatnonzero((np.bitwise_count(sketch[mid:hi] ^ sketch[i]) <= 4 * edits) & (line[mid:hi] != line[i]))
                 a.append(np.full(len(near), line[i]))
                 b.append(line[mid:hi][near])
         a, b = (signed(np.concatenate(x)) if x else np.zeros(0, np.int64) for x in (a, b))
@@ -219,22 +222,22 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _classes(text: DataFrame, buckets: int, edits: int) -> tuple[DataFrame, DataFrame]:
     """All lines, and (line, first document, number, occurrences, n_links, class) of the different ones."""
-    rows = write_table(text.mapInArrow(_line_rows, "line long, size int, doc long, number int, block long, at int"), "lines")
+    rows = keep(text.mapInArrow(_line_rows, "line long, size int, doc long, number int, block long, at int"), "lines")
     place = F.struct("doc", "number", "block", "at", "size")
-    first = write_table(
+    first = keep(
         rows.groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("occurrences")).select("line", "first.*", "occurrences"), "first")
     keys = text.mapInArrow(_keys(BUCKET_SHARE * buckets, edits), "bucket int, block long, data binary")
-    pairs = write_table(keys.groupBy("bucket").applyInArrow(_met(edits), "a long, b long").distinct(), "pairs")
+    pairs = keep(keys.groupBy("bucket").applyInArrow(_met(edits), "a long, b long").distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("line")).union(pairs.select("b")).distinct()
     wanted = first.join(wanted, "line", "left_semi").groupBy("block").agg(F.collect_list(F.struct("line", "at", "size")).alias("wanted")).hint("shuffle_hash")
-    texts = write_table(text.join(wanted, "block").select("block", "ids", "sizes", "text", "wanted").mapInArrow(_texts, "line long, text binary"), "texts")
+    texts = keep(text.join(wanted, "block").select("block", "ids", "sizes", "text", "wanted").mapInArrow(_texts, "line long, text binary"), "texts")
     both = pairs.join(texts.select(F.col("line").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("line").alias("b"), F.col("text").alias("tb")), "b")
-    links = write_table(both.mapInArrow(_verified(edits), "a long, b long"), "links")
+    links = keep(both.mapInArrow(_verified(edits), "a long, b long"), "links")
     degree = links.select(F.col("a").alias("line")).union(links.select("b")).groupBy("line").agg(F.count("*").alias("n_links"))
     labels = components(links)
     different = first.join(degree, "line", "left").join(labels.withColumnRenamed("id", "line"), "line", "left").select(
         "line", "size", "doc", "number", "occurrences", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "line").alias("class"))
-    return rows, write_table(different, "different")
+    return rows, keep(different, "different")
 
 
 def _documents(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -249,11 +252,12 @@ def line_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     separate; an empty or null text is one empty line; lines of under 16 characters link with nothing.  Rows with a null id are
     left out; rows with equal ids are different texts of one document.
     """
-    with text_blocks(_documents(docs, id_column, text_column)) as (text, buckets):
+    with scratch(docs.sparkSession), text_blocks(_documents(docs, id_column, text_column)) as (text, buckets):
         _, different = _classes(text, buckets, edits)
         heads = different.groupBy("class").agg(F.min(F.struct("doc", "number")).alias("head"))
-        return different.join(heads, "class").select(
+        found = different.join(heads, "class").select(
             F.col("doc").alias(id_column), F.col("number").alias("line"), "size", "occurrences", "n_links", F.col("head.doc").alias("class_id"), F.col("head.number").alias("class_line"))
+        return write_table(found, "classes")
 
 
 def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,7 +279,7 @@ def without_near_lines(docs: DataFrame, id_column: str = "doc_id", text_column:
 
     Earlier means in a smaller id, or before in the same text.  Ids should be unique; see ``line_classes`` for odd rows.
     """
-    with text_blocks(_documents(docs, id_column, text_column)) as (text, buckets):
+    with scratch(docs.sparkSession), text_blocks(_documents(docs, id_column, text_column)) as (text, buckets):
         rows, different = _classes(text, buckets, edits)
         heads = different.groupBy("class").agg(F.min(F.struct("doc", "number")).alias("head"))
         several = different.groupBy("class").agg(F.sum("occurrences").alias("n")).where("n > 1")
@@ -283,4 +287,4 @@ def without_near_lines(docs: DataFrame, id_column: str = "doc_id", text_column:
         gone = rows.join(members, "line").where(F.struct("doc", "number") > F.col("head"))
         marks = gone.groupBy("block").agg(F.collect_list(F.struct("doc", "number")).alias("marks")).hint("shuffle_hash")
         done = text.join(marks, "block", "left").select("block", "ids", "sizes", "text", "marks").mapInArrow(_rest, "id long, text string, n_removed long")
-        return write_table(done, "rest").withColumnRenamed("id", id_column)
+        return write_table(done, "rest", compression="zstd").withColumnRenamed("id", id_column)
