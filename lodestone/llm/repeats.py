@@ -61,8 +61,10 @@ def text_blocks(docs: DataFrame) -> Iterator[tuple[DataFrame, int]]:
     spark = docs.sparkSession
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(12, -(-size // BUCKET_BYTES))
+    # With fewer buckets than a shuffle has partitions, a join would deal the text out again.
+    files = max(min(buckets, 4096), int(spark.conf.get("spark.sql.shuffle.partitions")))
     name = f"text_blocks_{uuid.uuid4().hex}"
-    docs.select("id", "text").mapInArrow(_blocks, _BLOCKS).write.option("compression", "zstd").bucketBy(min(buckets, 4096), "block").saveAsTable(name)
+    docs.select("id", "text").mapInArrow(_blocks, _BLOCKS).write.option("compression", "zstd").bucketBy(files, "block").saveAsTable(name)
     try:
         yield spark.table(name).select("block", "ids", "sizes", "text"), buckets
     finally:
