@@ -229,7 +229,7 @@ def _earlier(key, rows):
     bit = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
     bits = np.add.reduceat(np.where(repeated, U64(1) << bit.astype(U64), U64(0)), np.cumsum(n) - n)
     some = np.flatnonzero(bits)
-    return pa.table({"block": block[some], "at": at[some], "n": n[some].astype(np.int32), "bits": signed(bits[some])})
+    return pa.table({"block": block[some], "at": at[some], "bits": signed(bits[some])})
 
 
 _CUT = "id long, n_bytes long, n_removed long, n_spans long, kept binary"
@@ -248,9 +248,13 @@ def _cut(buckets: int, with_text: bool):
                     np.add.at(edge, lo[whole], 1)
                     np.add.at(edge, lo[whole] + n[whole] + WINDOW - 1, -1)
                 if marks:
-                    at, n, bits = (np.array([m[k] for m in marks], np.int64) for k in ("at", "n", "bits"))
-                    first = np.cumsum(n) - n
-                    bit = np.arange(n.sum()) - np.repeat(first, n)
+                    # The marks of a symbol's first cell hold for every cell of it in the same document.
+                    at, bits = (np.array([m[k] for m in marks], np.int64) for k in ("at", "bits"))
+                    marked = np.zeros(len(first), np.int64)
+                    marked[symbol[np.searchsorted(lo, at)]] = bits
+                    own = np.flatnonzero((marked[symbol] != 0) & (doc == doc[first][symbol]))
+                    at, n, bits = lo[own], n[own], marked[symbol[own]]
+                    bit = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                     start = (np.repeat(at, n) + bit)[(np.repeat(bits, n) >> bit) & 1 > 0]
                     np.add.at(edge, start, 1)
                     np.add.at(edge, start + WINDOW, -1)
@@ -286,8 +290,8 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
         told = keep(told.groupBy("block").agg(F.collect_list(F.struct("bucket", "repeated", "wanted")).alias("told")), "told")
         columns = ["block", "ids", "sizes", "text", "told"]
         strings = text.join(told.hint("shuffle_hash"), "block").select(columns).mapInArrow(_strings(buckets), "bucket int, block long, data binary")
-        partly = strings.groupBy("bucket").applyInArrow(_earlier, "block long, at int, n int, bits long")
-        marks = partly.groupBy("block").agg(F.collect_list(F.struct("at", "n", "bits")).alias("marks"))
+        partly = strings.groupBy("bucket").applyInArrow(_earlier, "block long, at int, bits long")
+        marks = partly.groupBy("block").agg(F.collect_list(F.struct("at", "bits")).alias("marks"))
         answers = told.join(marks, "block", "left").hint("shuffle_hash")
         done = text.join(answers, "block", "left").select(*columns, "marks").mapInArrow(_cut(buckets, with_text), _CUT)
         return write_table(done, "cut", compression="zstd").withColumnRenamed("id", id_column)

@@ -53,5 +53,20 @@ def test_matches_brute_force(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def test_part_of_a_section_that_its_document_repeats(spark):
+    rng = random.Random(3)
+
+    def noise(n):
+        return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    rows = []
+    for k in range(20):
+        passage, section = noise(50 + 2 * k), (noise(60), noise(60))
+        again = section[0] + passage + section[1]
+        rows += [(3 * k, noise(60) + passage + noise(60)), (3 * k + 1, again + " | " + again), (3 * k + 2, noise(9) + again + again + again)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {r[0]: (r[1], r[2], r[3], bytes(r[4])) for r in without_repeats(frame, with_text=False).collect()}
+    assert got == brute(rows)
+
+
 def test_empty_table(spark):
     assert without_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
