@@ -260,6 +260,27 @@ def line_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         return write_table(found, "classes")
 
 
+def line_members(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", edits: int = EDITS) -> DataFrame:
+    """One row per line of every document: (id, line, size, occurrences, n_links, class_id, class_line, kept).
+
+    The columns are those of ``line_classes``, with the line's own place as ``id`` and ``line``.  ``kept`` is false for the lines
+    that ``without_near_lines`` takes out.
+    """
+    with scratch(docs.sparkSession), text_blocks(_documents(docs, id_column, text_column)) as (text, buckets):
+        rows, different = _classes(text, buckets, edits)
+        # A line without links is a class of its own.
+        linked = different.where("n_links > 0")
+        heads = linked.groupBy("class").agg(F.min(F.struct("doc", "number")).alias("head"))
+        columns = ["line", "occurrences", "n_links", "head"]
+        classes = linked.join(heads, "class").select(columns).union(
+            different.where("n_links = 0").withColumn("head", F.struct("doc", "number")).select(columns))
+        kept = (F.col("size") < LEAST) | (F.struct("doc", "number") == F.col("head"))
+        found = rows.join(classes, "line").select(
+            F.col("doc").alias(id_column), F.col("number").alias("line"), "size", "occurrences", "n_links", F.col("head.doc").alias("class_id"),
+            F.col("head.number").alias("class_line"), kept.alias("kept"))
+        return write_table(found, "members")
+
+
 def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, ids, sizes, text, marks in zip(*(c.to_pylist() for c in batch.columns)):

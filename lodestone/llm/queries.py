@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lodestone.llm import jpeg, language, segmentations, urls
 from lodestone.llm.common import table
 from lodestone.llm.embeddings import linked_vectors
-from lodestone.llm.lines import line_classes
+from lodestone.llm.lines import line_members
 from lodestone.llm.minhash import near_duplicates
 from lodestone.llm.packing import packed
 from lodestone.llm.repeats import without_repeats
@@ -83,8 +83,8 @@ FROM captures c LEFT JOIN valid v ON v.host = c.host AND v.fetched = c.fetched A
 
 @query
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All different lines of the documents with their near-duplicate class at two edits."""
-    return line_classes(table(spark, sf_dir, "documents", "doc_id", "text"))
+    """All lines of all documents with their near-duplicate class at two edits, and whether they stay."""
+    return line_members(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 @query

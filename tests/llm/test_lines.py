@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from lodestone.llm.lines import LEAST, line_classes, within, without_near_lines
+from lodestone.llm.lines import LEAST, line_classes, line_members, within, without_near_lines
 
 
 def distance(a, b):
@@ -90,6 +90,25 @@ def test_classes_and_removal_match_brute_force(spark):
         assert got[i] == ("\n".join(kept), len(lines) - len(kept))
 
 
+def test_op2_has_every_line_of_every_document(spark, tmp_path):
+    from lodestone.llm.queries import QUERIES
+
+    rows = corpus()[:12] + [(141, None), (200, corpus()[1][1]), (201, corpus()[1][1])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    _, count, near, head = brute(rows)
+    want = []
+    for i, t in rows:
+        for k, x in enumerate((t or "").split("\n")):
+            want.append((i, k, len(x), count[x], len(near[x]), *head[x], len(x) < LEAST or head[x] == (i, k)))
+    found = QUERIES["op2_line_dedup"](spark, str(tmp_path))
+    assert found.columns == ["doc_id", "line", "size", "occurrences", "n_links", "class_id", "class_line", "kept"]
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want)
+
+
+def test_no_members_of_an_empty_table(spark):
+    assert line_members(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def test_empty_table(spark):
     frame = spark.createDataFrame([], "doc_id long, text string")
     assert line_classes(frame).count() == 0 and without_near_lines(frame).count() == 0
