@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import toxicity
 from lodestone.llm.common import table
-from lodestone.llm.lines import LEAST, without_near_lines
+from lodestone.llm.lines import without_near_lines
 from lodestone.llm.minhash import near_duplicates
 from lodestone.llm.packing import packed
 from lodestone.llm.repeats import without_repeats
@@ -32,9 +32,8 @@ def _with_text(docs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines whose near-duplicate class occurs earlier are taken out; a document that keeps only short lines then goes."""
-    left = F.exists(F.split("text", "\n"), lambda x: F.length(x) >= LEAST)
-    return _with_text(docs, without_near_lines(docs).where((F.col("n_removed") == 0) | left))
+    """Lines whose near-duplicate class occurs earlier are taken out; a document of which nothing new is left then goes."""
+    return _with_text(docs, without_near_lines(docs).where("n_removed = 0 or n_new > 0"))
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -284,21 +284,25 @@ def line_members(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, ids, sizes, text, marks in zip(*(c.to_pylist() for c in batch.columns)):
-            gone = {(m["doc"], m["number"]) for m in marks or ()}
-            at, out, removed = 0, [], []
+            gone = {(m["doc"], m["number"]) for m in marks or () if not m["new"]}
+            fresh = {(m["doc"], m["number"]) for m in marks or () if m["new"]}
+            at, out, removed, new = 0, [], [], []
             for i, size in zip(ids, sizes):
                 lines = text[at:at + size].split(b"\n")
-                kept = [x for k, x in enumerate(lines) if (i, k) not in gone]
-                out.append(b"\n".join(kept).decode())
+                kept = [k for k in range(len(lines)) if (i, k) not in gone]
+                out.append(b"\n".join(lines[k] for k in kept).decode())
                 removed.append(len(lines) - len(kept))
+                new.append(sum(1 for k in kept if lines[k].decode().strip() and ((i, k) in fresh or len(lines[k].decode()) >= LEAST)))
                 at += size
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string()), pa.array(removed, pa.int64())], ["id", "text", "n_removed"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string()), pa.array(removed, pa.int64()), pa.array(new, pa.int64())],
+                ["id", "text", "n_removed", "n_new"])
 
 
 def without_near_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", edits: int = EDITS) -> DataFrame:
-    """(id, text, n_removed): every line of at least 16 characters whose class occurs earlier is taken out of its text.
+    """(id, text, n_removed, n_new): every line of at least 16 characters whose class occurs earlier is taken out of its text.
 
-    Earlier means in a smaller id, or before in the same text.  Ids should be unique; see ``line_classes`` for odd rows.
+    Earlier means in a smaller id, or before in the same text.  ``n_new`` counts the different lines left that are not blank and
+    occur in no earlier document.  Ids should be unique; see ``line_classes`` for odd rows.
     """
     with scratch(docs.sparkSession), text_blocks(_documents(docs, id_column, text_column)) as (text, buckets):
         rows, different = _classes(text, buckets, edits)
@@ -306,6 +310,9 @@ def without_near_lines(docs: DataFrame, id_column: str = "doc_id", text_column:
         several = different.groupBy("class").agg(F.sum("occurrences").alias("n")).where("n > 1")
         members = different.where(F.col("size") >= LEAST).join(several, "class").join(heads, "class").select("line", "head")
         gone = rows.join(members, "line").where(F.struct("doc", "number") > F.col("head"))
-        marks = gone.groupBy("block").agg(F.collect_list(F.struct("doc", "number")).alias("marks")).hint("shuffle_hash")
-        done = text.join(marks, "block", "left").select("block", "ids", "sizes", "text", "marks").mapInArrow(_rest, "id long, text string, n_removed long")
+        # Every longer line that stays is new; of the short ones, which all stay, the first occurrence is.
+        short = rows.where(f"size between 1 and {LEAST - 1}").groupBy("line").agg(F.min(F.struct("doc", "number", "block")).alias("first")).select("first.*")
+        places = gone.select("block", "doc", "number", F.lit(False).alias("new")).union(short.select("block", "doc", "number", F.lit(True)))
+        marks = places.groupBy("block").agg(F.collect_list(F.struct("doc", "number", "new")).alias("marks")).hint("shuffle_hash")
+        done = text.join(marks, "block", "left").select("block", "ids", "sizes", "text", "marks").mapInArrow(_rest, "id long, text string, n_removed long, n_new long")
         return write_table(done, "rest", compression="zstd").withColumnRenamed("id", id_column)

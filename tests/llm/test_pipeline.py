@@ -88,6 +88,15 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert {r.doc_id for r in pieces} == left.keys()
 
 
+def test_new_short_lines_outlive_a_shared_header(spark):
+    header = "a header line that many documents share"
+    rows = [
+        (1, header + "\nalpha"), (2, header + "\nbeta\ngamma"), (3, header + "\nbeta\n  \n"), (4, header), (5, "beta\nalpha"), (6, header + "\nalpha\ndelta"),
+        (7, header + "\ndelta\ngamma")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert texts(P.line_dedup(spark, docs, "")) == {1: rows[0][1], 2: "beta\ngamma", 5: "beta\nalpha", 6: "alpha\ndelta"}
+
+
 def test_run_over_a_folder(spark, tmp_path):
     rows, labels = corpus()
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
