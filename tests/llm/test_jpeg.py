@@ -108,3 +108,11 @@ def test_query_over_a_table(spark, tmp_path):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
         assert r.media_bytes > len(payload) and len(r.media_sha256) == 64
     assert got[0][1:] == got[4][1:] and got[1][1:] == got[2][1:]
+
+
+def test_pixels_are_the_tensors_of_the_media(spark):
+    rows = [(1, "some text"), (2, None), (3, "é" * 700)]
+    media = jpeg.stored(spark.createDataFrame(rows, "doc_id long, text string")).cache()
+    want = {r.doc_id: jpeg.tensor(jpeg.decode(bytes(r.media))) for r in media.collect()}
+    got = {r.doc_id: np.frombuffer(r.rgb, np.uint8).reshape(r.height, r.width, 3) for r in jpeg.pixels(media).collect()}
+    assert got.keys() == want.keys() and all((got[i] == want[i]).all() for i in want)
