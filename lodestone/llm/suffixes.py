@@ -21,7 +21,7 @@ from lodestone.llm.common import keep
 
 
 
-def _numbered(keys: list[str], keep: list[str], compare: list[str]):
+def _numbered(keys: list[str], carried: list[str], compare: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, row, last = TaskContext.get().partitionId(), 0, None
         for batch in batches:
@@ -34,24 +34,24 @@ def _numbered(keys: list[str], keep: list[str], compare: list[str]):
             new[0] = last is None or (k[:, 0] != last).any()
             last = k[:, -1]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in keep), *(batch.column(c) for c in keys), pa.array(np.full(n, part, np.int32)),
-                 pa.array(np.arange(row, row + n)), pa.array(new)], [*keep, *keys, "part", "row", "new"])
+                [*(batch.column(c) for c in carried), *(batch.column(c) for c in keys), pa.array(np.full(n, part, np.int32)),
+                 pa.array(np.arange(row, row + n)), pa.array(new)], [*carried, *keys, "part", "row", "new"])
             row += n
     return run
 
 
-def ordered(df: DataFrame, keys: list[str], unique: str, keep: tuple[str, ...] = (), compare: list[str] | None = None) -> DataFrame:
+def ordered(df: DataFrame, keys: list[str], unique: str, carried: tuple[str, ...] = (), compare: list[str] | None = None) -> DataFrame:
     """``df`` globally sorted by long ``keys`` and then ``unique``: adds the row number ``at`` and ``name``, which counts the
     changes of ``compare`` (the keys, if none are given) from row to row.
 
     Equal keys may fill several partitions; a summary of one row per partition carries names across.
     """
-    keep = list(dict.fromkeys([unique, *keep]))
+    carried = list(dict.fromkeys([unique, *carried]))
     compare = compare or keys
-    names = [k for k in dict.fromkeys([*keys, *compare]) if k not in keep]
-    fields = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep] + [f"`{c}` long" for c in names]
-    sort = df.select(*keep, *names).repartitionByRange(*keys, unique).sortWithinPartitions(*keys, unique)
-    rows = keep(sort.mapInArrow(_numbered(names, keep, compare), ", ".join([*fields, "part int", "row long", "new boolean"])), "sorted")
+    names = [k for k in dict.fromkeys([*keys, *compare]) if k not in carried]
+    fields = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in carried] + [f"`{c}` long" for c in names]
+    sort = df.select(*carried, *names).repartitionByRange(*keys, unique).sortWithinPartitions(*keys, unique)
+    rows = keep(sort.mapInArrow(_numbered(names, carried, compare), ", ".join([*fields, "part int", "row long", "new boolean"])), "sorted")
     edge = F.struct(*compare)
     parts = rows.groupBy("part").agg(
         F.count("*").alias("n"), F.count_if("new").alias("distinct"), F.min_by(edge, "row").alias("first"), F.max_by(edge, "row").alias("last"))
@@ -64,7 +64,7 @@ def ordered(df: DataFrame, keys: list[str], unique: str, keep: tuple[str, ...] =
     named = rows.join(F.broadcast(parts), "part")
     # Within a partition, names count the changes so far; the running count is cheap because rows are already in order there.
     running = F.sum(F.col("new").cast("long")).over(Window.partitionBy("part").orderBy("row"))
-    return named.select(*keep, *names, (F.col("rows_before") + F.col("row")).alias("at"), (F.col("names_before") + running - 1).alias("name"))
+    return named.select(*carried, *names, (F.col("rows_before") + F.col("row")).alias("at"), (F.col("names_before") + running - 1).alias("name"))
 
 
 def _next(df: DataFrame, ranks: DataFrame, step: int, name: str) -> DataFrame:
