@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import jpeg, language, segmentations, urls
+from lodestone.llm.centroids import clusters
 from lodestone.llm.common import table
 from lodestone.llm.embeddings import linked_vectors
 from lodestone.llm.lines import line_members
@@ -167,3 +168,41 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all embeddings at a cosine of 0.9."""
     return linked_vectors(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+@query
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings of 64 finite components in eight clusters."""
+    return clusters(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+def _rounds(k: int, rounds: int, size: int) -> str:
+    steps = [f"""
+kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, embedding FROM embeddings
+  WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (
+  SELECT row, vec_id, d, CAST(floor(1024 * CAST(embedding[d] AS DOUBLE)) AS HUGEINT) AS x
+  FROM kept, unnest(range(1, {size + 1})) AS t(d)),
+first AS (
+  SELECT row, row_number() OVER (ORDER BY sha256('3:' || vec_id), row) - 1 AS cluster FROM kept WHERE vec_id IS NOT NULL
+  QUALIFY cluster < {k}),
+c0 AS MATERIALIZED (SELECT cluster, d, x AS c FROM x JOIN first USING (row))"""]
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS MATERIALIZED (
+  SELECT row, cluster, distance FROM (SELECT row, cluster, sum((x - c) * (x - c)) AS distance FROM x JOIN c{r} USING (d) GROUP BY row, cluster)
+  QUALIFY row_number() OVER (PARTITION BY row ORDER BY distance, cluster) = 1)""")
+        if r < rounds:
+            steps.append(f"""
+c{r + 1} AS MATERIALIZED (
+  SELECT cluster, d, coalesce((s - ((s % n) + n) % n) // n, c) AS c FROM c{r} LEFT JOIN (
+    SELECT cluster, d, CAST(sum(x) AS HUGEINT) AS s, CAST(count(*) AS HUGEINT) AS n FROM x JOIN a{r} USING (row) GROUP BY cluster, d) USING (cluster, d))""")
+    return f"""WITH {",".join(steps)}
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, CAST(distance AS BIGINT) AS distance,
+       CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia, digest AS centroid_sha256
+FROM a{rounds} JOIN kept USING (row)
+JOIN (SELECT cluster, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY d)) AS digest FROM c{rounds} GROUP BY cluster) USING (cluster)"""
+
+
+ORACLES["op13_centroid_clusters"] = _rounds(8, 10, 64)
