@@ -91,38 +91,38 @@ class Bisectors:
         return winner, (gap * gap).sum(axis=1)
 
 
+def _limbs(total: int) -> list[tuple[int, int]]:
+    """Digits of a whole number to the base 2^32, each with its place and the number's sign."""
+    sign, rest = (-1 if total < 0 else 1), abs(total)
+    return [(p, sign * (rest >> 32 * p & 0xFFFFFFFF)) for p in range(-(-rest.bit_length() // 32))]
+
+
 def _sums(bisectors: Bisectors, size: int):
+    """Per centroid and component the sum over the task's vectors in limbs; component -1 is their number."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(bisectors.centroids)
-        total, count = [[0] * size for _ in range(k)], [0] * k
+        total = [[0] * (size + 1) for _ in range(k)]
         for batch in batches:
             x = _matrix(batch, size)
             winner, _ = bisectors.nearest(x)
             for c in np.unique(winner).tolist():
                 own = x[winner == c]
-                count[c] += len(own)
-                total[c] = [a + int(b) for a, b in zip(total[c], own.sum(axis=0).tolist())]
-        rows = [(c, d, str(total[c][d]), count[c]) for c in range(k) if count[c] for d in range(size)]
+                total[c] = [a + int(b) for a, b in zip(total[c], [*own.sum(axis=0).tolist(), len(own)])]
+        rows = [(c, d if d < size else -1, p, v) for c in range(k) for d in range(size + 1) for p, v in _limbs(total[c][d])]
+        columns = zip(*rows) if rows else [[]] * 4
         yield pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string()),
-             pa.array([r[3] for r in rows], pa.int64())], ["cluster", "place", "total", "count"])
+            [pa.array(v, t) for v, t in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.int64()))], ["cluster", "component", "limb", "value"])
     return run
 
 
 def _next(vectors: DataFrame, centroids: list[list[int]], size: int) -> list[list[int]]:
     """The centroids after one round: floor of the mean, or as before where no vector came."""
-    parts = vectors.mapInArrow(_sums(Bisectors(centroids), size), "cluster int, place int, total string, count long")
-    # Halves of 15 digits keep the sums of any number of tasks exact; a wide table's totals may be longer than a decimal.
-    digits = F.lpad(F.regexp_replace("total", "^-", ""), 600, "0")
-    pieces = [F.substring(digits, 600 - 15 * (p + 1) + 1, 15).cast("long") for p in range(40)]
-    sign = F.when(F.col("total").startswith("-"), -1).otherwise(1)
-    summed = parts.groupBy("cluster", "place").agg(
-        F.sum("count").alias("count"), *(F.sum((sign * p).cast("decimal(38,0)")).alias(f"p{i}") for i, p in enumerate(pieces)))
-    out = [list(c) for c in centroids]
-    for row in summed.collect():  # centroids x components
-        total = sum(int(row[f"p{i}"]) * 10 ** (15 * i) for i in range(40))
-        out[row["cluster"]][row["place"]] = total // row["count"]
-    return out
+    parts = vectors.mapInArrow(_sums(Bisectors(centroids), size), "cluster int, component int, limb int, value long")
+    sums: dict[tuple[int, int], int] = {}
+    for row in parts.groupBy("cluster", "component", "limb").agg(F.sum("value").alias("value")).collect():  # centroids x components
+        key = row["cluster"], row["component"]
+        sums[key] = sums.get(key, 0) + (row["value"] << 32 * row["limb"])
+    return [[sums.get((j, d), 0) // sums[j, -1] for d in range(size)] if (j, -1) in sums else c for j, c in enumerate(centroids)]
 
 
 def _assigned(bisectors: Bisectors, size: int):

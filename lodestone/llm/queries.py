@@ -17,6 +17,7 @@ from lodestone.llm.embeddings import linked_vectors
 from lodestone.llm.lines import line_members
 from lodestone.llm.minhash import near_duplicates
 from lodestone.llm.packing import packed
+from lodestone.llm.phrases import collocations
 from lodestone.llm.repeats import without_repeats
 from lodestone.llm.toxicity import fit, score
 from lodestone.session import write_table
@@ -170,6 +171,39 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_vectors(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
 
+@query
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 strongest phrases of each language over all documents."""
+    return collocations(table(spark, sf_dir, "documents", "text", "lang"))
+
+
+_PIECES = r"[.,;:!?\x0A-\x0D]"
+ORACLES["op11_phrase_collocations"] = f"""
+WITH docs AS (SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang,
+       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+pieces AS (SELECT doc, lang, unnest(string_split_regex(text, '{_PIECES}')) AS piece FROM docs),
+rows AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, k, w[i:i + k - 1] AS p, count(*) AS f
+  FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM rows), (VALUES (1), (2), (3)) AS t(k)
+  WHERE i + k - 1 <= len(w) GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM grams WHERE k = 1 GROUP BY lang),
+cut AS (
+  SELECT c.lang, c.p, c.f AS a, x.f AS l, y.f AS r,
+         CAST((1000000::HUGEINT * c.f * c.f) // (x.f::HUGEINT * y.f) AS BIGINT) AS score, j
+  FROM grams c, (VALUES (1), (2)) AS t(j), grams x, grams y
+  WHERE c.k >= 2 AND c.f >= 10 AND j < c.k AND x.lang = c.lang AND y.lang = c.lang AND x.p = c.p[1:j] AND y.p = c.p[j + 1:]),
+lowest AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, j) = 1),
+held AS (
+  SELECT DISTINCT s.lang, s.p FROM lowest s JOIN lowest b
+  ON s.lang = b.lang AND len(s.p) = 2 AND len(b.p) = 3 AND (s.p = b.p[1:2] OR s.p = b.p[2:3]) AND 100 * b.a >= 50 * s.a),
+rest AS (
+  SELECT *, array_to_string(p, ' ') AS phrase FROM lowest ANTI JOIN held USING (lang, p))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM rest JOIN totals USING (lang) QUALIFY rank <= 2000
+"""
+
+
 @query
 def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All embeddings of 64 finite components in eight clusters."""
