@@ -20,6 +20,7 @@ from lodestone.llm.packing import packed
 from lodestone.llm.phrases import collocations
 from lodestone.llm.repeats import without_repeats
 from lodestone.llm.toxicity import fit, score
+from lodestone.llm.wrappers import main_texts
 from lodestone.session import write_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -188,22 +189,30 @@ grams AS (
   FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM rows), (VALUES (1), (2), (3)) AS t(k)
   WHERE i + k - 1 <= len(w) GROUP BY ALL),
 totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM grams WHERE k = 1 GROUP BY lang),
+parts AS MATERIALIZED (SELECT lang, array_to_string(p, ' ') AS part, f FROM grams WHERE k < 3 AND f >= 10),
+cuts AS MATERIALIZED (
+  SELECT lang, p, f AS a, j, array_to_string(p[1:j], ' ') AS head, array_to_string(p[j + 1:], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM grams WHERE k >= 2 AND f >= 10)),
 cut AS (
-  SELECT c.lang, c.p, c.f AS a, x.f AS l, y.f AS r,
-         CAST((1000000::HUGEINT * c.f * c.f) // (x.f::HUGEINT * y.f) AS BIGINT) AS score, j
-  FROM grams c, (VALUES (1), (2)) AS t(j), grams x, grams y
-  WHERE c.k >= 2 AND c.f >= 10 AND j < c.k AND x.lang = c.lang AND y.lang = c.lang AND x.p = c.p[1:j] AND y.p = c.p[j + 1:]),
-lowest AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, j) = 1),
-held AS (
-  SELECT DISTINCT s.lang, s.p FROM lowest s JOIN lowest b
-  ON s.lang = b.lang AND len(s.p) = 2 AND len(b.p) = 3 AND (s.p = b.p[1:2] OR s.p = b.p[2:3]) AND 100 * b.a >= 50 * s.a),
+  SELECT c.*, x.f AS l, y.f AS r, CAST((1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+  FROM cuts c JOIN parts x ON x.lang = c.lang AND x.part = c.head JOIN parts y ON y.lang = c.lang AND y.part = c.tail),
+lowest AS MATERIALIZED (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, j) = 1),
+inner_parts AS (
+  SELECT lang, q, max(a) AS most FROM (SELECT lang, unnest([p[1:2], p[2:3]]) AS q, a FROM lowest WHERE len(p) = 3) GROUP BY lang, q),
 rest AS (
-  SELECT *, array_to_string(p, ' ') AS phrase FROM lowest ANTI JOIN held USING (lang, p))
+  SELECT s.*, array_to_string(p, ' ') AS phrase FROM lowest s LEFT JOIN inner_parts i ON i.lang = s.lang AND i.q = s.p
+  WHERE i.most IS NULL OR 100 * i.most < 50 * s.a)
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
 FROM rest JOIN totals USING (lang) QUALIFY rank <= 2000
 """
 
 
+@query
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return main_texts(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 @query
 def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All embeddings of 64 finite components in eight clusters."""
