@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 from lodestone.llm.common import U64, keep, mix, scratch
 from lodestone.session import write_table
 
-SHARD = 4_000_000  # words of a shard
+SHARD = 1_000_000  # words of a shard; bounds a worker's memory
 BUCKET = 2_000_000  # words of the corpus for each hash bucket of phrases
 DEPTH = 3
 _KIND = np.zeros(256, np.uint8)  # 0: of a word, 1: between words, 2: between pieces
@@ -88,15 +88,15 @@ def _sequence(words: list[pa.Array], pieces: list[np.ndarray]) -> tuple[pa.Array
 def bwt(text: np.ndarray, depth: int) -> np.ndarray:
     """The word before each suffix, suffixes ordered by their first ``depth`` words."""
     bits = int(text.max(initial=0)).bit_length() or 1
-    columns = [np.concatenate((text[k:], np.zeros(k, np.int64))) for k in range(depth)]
     if bits * depth <= 63:
-        key = columns[0]
-        for c in columns[1:]:
-            key = key << bits | c
+        key = text << bits * (depth - 1)
+        for k in range(1, depth):
+            key[:-k] |= text[k:] << bits * (depth - 1 - k)
         order = np.argsort(key)
     else:
-        order = np.lexsort(columns[::-1])
-    return text[order - 1]
+        order = np.lexsort([np.concatenate((text[k:], np.zeros(k, np.int64))) for k in range(depth - 1, -1, -1)])
+    order -= 1
+    return text[order]
 
 
 class Index:
@@ -122,10 +122,13 @@ class Index:
         """
         ends = np.cumsum(size)
         n = int(ends[-1]) if len(ends) else 0
-        owner = np.repeat(np.arange(len(size)), size)
-        at = np.arange(n) - np.repeat(ends - size, size) + np.repeat(first, size)
         span = len(self.wanted)
-        pair = np.sort(owner * span + self.columns[side][at])
+        at = np.arange(n)
+        at += np.repeat(first - ends + size, size)
+        pair = np.repeat(np.arange(len(size)) * span, size)
+        pair += self.columns[side][at]
+        del at
+        pair.sort()
         new = np.flatnonzero(np.concatenate((np.ones(min(n, 1), bool), pair[1:] != pair[:-1])))
         count = np.diff(new, append=n)
         owner, word = pair[new] // span, pair[new] % span
@@ -169,7 +172,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if text is not None:
                     own.append(text)
                     size += len(text)
-                if own and (text is None or size > 1 << 22):
+                if own and (text is None or size > 1 << 20):
                     words, piece = tokens(own)
                     w, p, n = waiting.setdefault(lang, ([], [], [0, 0]))
                     w.append(words)

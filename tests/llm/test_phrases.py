@@ -50,7 +50,7 @@ def run(spark, rows, **kw):
     return sorted(tuple(r) for r in collocations(df, **kw).select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect())
 
 
-@pytest.mark.parametrize("shard,least,top", [(4_000_000, 10, 2000), (150, 3, 7)])
+@pytest.mark.parametrize("shard,least,top", [(1_000_000, 10, 2000), (150, 3, 7)])
 def test_matches_plain_counts(spark, monkeypatch, shard, least, top):
     monkeypatch.setattr(phrases, "SHARD", shard)
     monkeypatch.setattr(phrases, "BUCKET", 500)
