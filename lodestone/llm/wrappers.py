@@ -501,7 +501,7 @@ def host(url: Column) -> Column:
 
 
 def _extracted(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    parsed = keep(pages.mapInArrow(_parsed, f"id long, url string, host string, key string, skeleton string, blocks {BLOCKS}"), "blocks")
+    parsed = keep(pages.mapInArrow(_parsed, f"id long, url string, host string, key string, skeleton string, blocks {BLOCKS}"), "blocks", "zstd")
     skeletons = keep(parsed.groupBy("host", "key", "skeleton").agg(F.count("*").alias("n")), "skeletons")
     found = wrappers(skeletons)
     mapped = keep(skeletons.join(found, "host").mapInArrow(_located, "host string, key string, places array<struct<place string, slot string>>"), "mapped")
@@ -533,7 +533,7 @@ def main_texts(df: DataFrame, id_column: str = "page_id", url_column: str = "url
     pages = df.select(
         F.col(id_column).cast("long").alias("id"), F.col(url_column).alias("url"), host(F.col(url_column)).alias("host"), F.col(html_column).alias("html"))
     with scratch(df.sparkSession):
-        return write_table(_extracted(pages)[0], "texts").withColumnsRenamed({"id": id_column, "url": url_column})
+        return write_table(_extracted(pages)[0], "texts", compression="zstd").withColumnsRenamed({"id": id_column, "url": url_column})
 
 
 def host_wrappers(df: DataFrame, url_column: str = "url", html_column: str = "html") -> DataFrame:
