@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
 from lodestone.functions import vocab as V
+from lodestone.operators.blockmax import search
 from lodestone.operators.search_index import SearchIndex
 from lodestone.session import BROADCAST_ROWS, at_most
 
@@ -64,15 +65,12 @@ def bm25_scores(index: SearchIndex, term_rows: DataFrame) -> DataFrame:
 
 def bm25_topk(index: SearchIndex, queries: DataFrame, k: int = V.LEXICAL_LIMIT, limit: int = V.QUERY_TERM_LIMIT) -> DataFrame:
     """Any-term BM25, best ``k`` per query; equal scores fall to the smaller id."""
-    scores = bm25_scores(index, explode_terms(queries, limit))
-    return top_k(scores, k, F.desc("score"), F.asc("parent_asin")).select("query_id", "parent_asin", "score", "rank")
+    return search(index.blocks, explode_terms(queries, limit), index.term_stats, k)
 
 
 def bm25_strict_topk(index: SearchIndex, queries: DataFrame, k: int = V.STRICT_LIMIT, limit: int = 16) -> DataFrame:
     """All-terms BM25 for queries with at least two terms."""
-    scores = bm25_scores(index, explode_terms(queries, limit))
-    every = scores.filter((F.col("matched_terms") == F.col("n_terms")) & (F.col("n_terms") >= 2))
-    return top_k(every, k, F.desc("score"), F.asc("parent_asin")).select("query_id", "parent_asin", "score", "rank")
+    return search(index.blocks, explode_terms(queries, limit).where("n_terms >= 2"), index.term_stats, k, every=True)
 
 
 def category_route(queries: DataFrame, products: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
 from lodestone.functions import vocab as V
+from lodestone.operators.blockmax import BlockIndex, build_blocks
 from lodestone.session import shared_dir
 
 
@@ -20,6 +21,7 @@ class SearchIndex:
     documents: DataFrame   # parent_asin, doc_len
     term_stats: DataFrame  # term, df, idf
     totals: DataFrame      # one row: doc_count, avg_len
+    blocks: BlockIndex     # the same postings by term and product range, with block maxima
 
 
 def indexed_fields(catalog: DataFrame, drop_generic: bool = False) -> DataFrame:
@@ -92,7 +94,8 @@ def build_index(
         .select("term", "df", inverse_document_frequency(F.col("df"), F.col("doc_count")).alias("idf"))
     )
     stats.write.parquet(f"{folder}/term_stats")
-    return SearchIndex(postings, documents, spark.read.parquet(f"{folder}/term_stats"), totals)
+    blocks = build_blocks(postings, documents, totals, folder)
+    return SearchIndex(postings, documents, spark.read.parquet(f"{folder}/term_stats"), totals, blocks)
 
 
 def term_idf(index: SearchIndex, kind: str = "bm25") -> DataFrame:
