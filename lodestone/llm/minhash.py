@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -100,6 +101,61 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [pa.array(signed(region)), pa.array(signed(path)), pa.array(rep)], ["region", "path", "rep"])
 
 
+def _runs(steps: int):
+    """Sorted (region, path, rep, comp) rows: pairs at most ``steps`` apart in one region and of different components, and the first
+    and last ``steps`` rows of the task (with ``part`` and ``row``), whose neighbours may lie in another task."""
+    names = ["a", "b", "part", "row", "region", "comp"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seen = TaskContext.get().partitionId(), 0
+        region, rep, comp = (np.zeros(0, np.int64) for _ in range(3))
+
+        def edge(lo: int, hi: int, first: int) -> pa.RecordBatch:
+            n = hi - lo
+            return pa.RecordBatch.from_arrays(
+                [pa.array(rep[lo:hi]), pa.nulls(n, pa.int64()), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(first, first + n)),
+                 pa.array(region[lo:hi]), pa.array(comp[lo:hi])], names)
+
+        for batch in batches:
+            old = len(rep)
+            region, rep, comp = (np.concatenate((x, batch.column(c).to_numpy())) for x, c in ((region, "region"), (rep, "rep"), (comp, "comp")))
+            for d in range(1, min(steps, len(rep) - 1) + 1):
+                hit = np.flatnonzero((region[d:] == region[:-d]) & (comp[d:] != comp[:-d]) & (rep[d:] != rep[:-d]) & (np.arange(d, len(rep)) >= old))
+                a, b = rep[hit], rep[hit + d]
+                none = len(hit)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(none, pa.int32()), pa.nulls(none, pa.int64()), pa.nulls(none, pa.int64()),
+                     pa.nulls(none, pa.int64())], names)
+            if seen < steps:
+                yield edge(old, min(len(rep), old + steps - seen), seen)
+            seen += batch.num_rows
+            region, rep, comp = region[-steps:], rep[-steps:], comp[-steps:]
+        # The last rows, without those that are among the first.
+        lo = max(0, len(rep) - (seen - steps)) if seen < 2 * steps else 0
+        if seen > steps:
+            yield edge(lo, len(rep), seen - len(rep) + lo)
+    return run
+
+
+def _neighbours(forest: DataFrame, steps: int) -> DataFrame:
+    """Different pairs (a, b) of one region within ``steps`` of each other whose components differ.
+
+    The order is global, so a region of any size is spread over tasks.
+    """
+    sort = forest.repartitionByRange("region", "path", "rep").sortWithinPartitions("region", "path", "rep")
+    found = keep(sort.mapInArrow(_runs(steps), "a long, b long, part int, row long, region long, comp long"), "runs")
+    edges = found.where("part is not null")
+    sizes = edges.groupBy("part").agg((F.max("row") + 1).alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per task of the sort
+    sizes = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    edges = edges.join(sizes, "part").select("region", F.struct((F.col("before") + F.col("row")).alias("at"), "part", F.col("a").alias("rep"), "comp").alias("x"))
+    order = Window.partitionBy("region").orderBy("x.at").rowsBetween(1, 2 * steps)
+    met = edges.withColumn("near", F.collect_list("x").over(order)).select("x", F.explode("near").alias("y")).where(
+        (F.col("y.at") - F.col("x.at") <= steps) & (F.col("x.part") != F.col("y.part")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.rep") != F.col("y.rep")))
+    met = met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
+    return found.where("b is not null").select("a", "b").union(met).distinct()
+
+
 def _likely(percent: int):
     rate = percent / 100
     least = int(MINIMA * rate - 5 * (MINIMA * rate * (1 - rate)) ** 0.5)
@@ -111,7 +167,7 @@ def _likely(percent: int):
             x = np.frombuffer(b"".join(batch.column("sig_a").to_pylist()), np.uint32).reshape(-1, MINIMA)
             y = np.frombuffer(b"".join(batch.column("sig_b").to_pylist()), np.uint32).reshape(-1, MINIMA)
             keep = np.flatnonzero((x == y).sum(axis=1) >= least)
-            yield batch.select(["a", "b", "step"]).take(pa.array(keep))
+            yield batch.select(["a", "b"]).take(pa.array(keep))
     return check
 
 
@@ -150,7 +206,7 @@ def _likely_pairs(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFr
         .join(side.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b")), "b")
         .where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
     )
-    return both.select("a", "b", "step", "sig_a", "sig_b").mapInArrow(_likely(percent), "a long, b long, step int")
+    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(_likely(percent), "a long, b long")
 
 
 def _set_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -215,32 +271,26 @@ def _classes(docs: DataFrame, percent: int) -> DataFrame:
         .dropDuplicates(["id", "k1", "k2"]), "reps").select("id", "n", "sig")
 
     forest = keep(reps.select("id", "sig").mapInArrow(_forest, "region long, path long, rep long"), "forest")
-    order = Window.partitionBy("region").orderBy("path", "rep")
-    near = F.collect_list("rep").over(order.rowsBetween(1, NEIGHBOURS))
-    found = forest.select("rep", near.alias("near")).where(F.size("near") > 0)
-    found = found.select("rep", F.posexplode("near").alias("step", "other")).where("rep <> other")
-    candidates = keep(
-        found.groupBy(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).agg(F.min("step").alias("step")), "candidates")
-
-    likely = keep(_likely_pairs(candidates, reps, percent), "likely")
+    # Next neighbours link most of what belongs together; the farther ones are then compared across components only.
+    likely = keep(_likely_pairs(_neighbours(forest.withColumn("comp", F.col("rep")), 1), reps, percent), "likely")
     crowded = forest.groupBy("region").agg(F.count("*").alias("members")).where(F.col("members") > NEIGHBOURS + 1)
     crowd = keep(forest.join(crowded, "region").select("region", "members", F.col("rep").alias("id")), "crowd")
-    sets = _set_table(docs, likely.select(F.col("a").alias("id")).union(likely.select("b")).union(crowd.select("id")))
-    links = _confirm(likely.where("step = 0").select("a", "b"), sets, percent)
+    links = _confirm(likely, _set_table(docs, likely.select(F.col("a").alias("id")).union(likely.select("b"))), percent)
     labels = keep(components(links), "labels")
 
     def label(df: DataFrame, column: str, name: str) -> DataFrame:
         side = labels.select(F.col("id").alias(column), F.col("component").alias(name))
         return df.join(side, column, "left").withColumn(name, F.coalesce(name, column))
 
-    apart = label(label(likely.where("step > 0").select("a", "b"), "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
-    links = links.union(_confirm(apart, sets, percent))
+    apart = keep(_likely_pairs(_neighbours(label(forest, "rep", "comp"), NEIGHBOURS), reps, percent), "apart")
+    links = links.union(_confirm(apart, _set_table(docs, apart.select(F.col("a").alias("id")).union(apart.select("b"))), percent))
     labels = keep(components(links), "labels")
 
     inside = label(crowd, "id", "component")
     split = inside.groupBy("region").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("region")
     inside = inside.join(split, "region").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    inside = keep(inside.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).join(sets, "id"), "inside")
+    inside = inside.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    inside = keep(inside.join(_set_table(docs, inside.select("id")), "id"), "inside")
     left = inside.withColumn("against", F.explode(F.sequence("block", F.col("blocks") - 1)))
     right = inside.withColumn("against", F.col("block")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("block"))))
     keys, columns = ["region", "block", "against"], ["region", "block", "against", "id", "component", "shingles"]
