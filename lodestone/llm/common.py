@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import struct
 import uuid
@@ -10,7 +11,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.session import shared_dir
@@ -52,6 +53,14 @@ def keep(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return out
 
 
+def release_memory() -> None:
+    """Gives what large arrays left in the allocator back to the system, where the C library can."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """The texts as UTF-8 bytes, null as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -186,22 +195,26 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star steps, each a minimum per node joined back to the node's edges, so that a hub's
     edges are never gathered in one group.  Every round is written to the shared folder.
     """
-    spark = edges.sparkSession
-    e = keep(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    state = None
-    while True:
+    def written(rows: DataFrame) -> tuple[DataFrame, tuple]:
+        """The edges as a table, with their number and digest from the same job."""
+        seen = Observation()
+        digest = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
+        table = keep(rows.observe(seen, F.count(F.lit(1)).alias("n"), digest.alias("digest")), "edges")
+        return table, (seen.get["n"], seen.get["digest"])
+
+    e, state = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    while state[0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         e = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         e = e.where("u <> v")
         least = e.groupBy("u").agg(F.min("v").alias("m"))
         small = e.join(least, "u")
-        e = keep(
+        e, now = written(
             small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-            .where("u <> v").distinct(), "edges")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == tuple(now):
+            .where("u <> v").distinct())
+        if state == now:
             break
-        state = tuple(now)
+        state = now
     found = e.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return found.union(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
