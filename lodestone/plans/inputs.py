@@ -59,7 +59,15 @@ def opening_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def opening_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     def build() -> DataFrame:
-        return write_table(
-            R.candidates(part_index(spark, sf_dir), opening_queries(spark, sf_dir), part_products(spark, sf_dir)), "candidates")
+        route = R.category_route(opening_queries(spark, sf_dir), part_products(spark, sf_dir))
+        return write_table(R.candidate_union(opening_lexical(spark, sf_dir), route), "candidates")
 
     return built_once(spark, sf_dir, "opening_candidates", build=build)
+
+
+def opening_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lexical route of every opening query."""
+    def build() -> DataFrame:
+        return write_table(R.bm25_topk(part_index(spark, sf_dir), opening_queries(spark, sf_dir)), "lexical")
+
+    return built_once(spark, sf_dir, "opening_lexical", build=build)

@@ -10,8 +10,9 @@ from lodestone.operators import facets as FA
 from lodestone.operators import scoring as SC
 from lodestone.plans import inputs as N
 from lodestone.plans import sql as S
-from lodestone.plans.registry import query
+from lodestone.plans.registry import built_once, query
 from lodestone.plans.search_queries import CANDIDATES
+from lodestone.session import write_table
 from lodestone.sources import adapters as A
 from lodestone.sources import catalog as C
 
@@ -69,6 +70,12 @@ def scored(spark, sf_dir):
         N.opening_candidates(spark, sf_dir), N.opening_queries(spark, sf_dir), N.part_products(spark, sf_dir), N.part_stats(spark, sf_dir))
 
 
+def best(spark, sf_dir, k, queries=None):
+    """The best ``k`` candidates of every opening query, reading no more of a category than can matter."""
+    return SC.blended_topk(
+        N.opening_lexical(spark, sf_dir), queries or N.opening_queries(spark, sf_dir), N.part_products(spark, sf_dir), N.part_stats(spark, sf_dir), k)
+
+
 @query("catalog_stats", f"""WITH {S.PRODUCTS}, {STATS}
 SELECT round(mean_rating, 9) AS mean_rating, median_n AS median_rating_number, max_n AS max_rating_number, products AS product_count FROM cstats""")
 def catalog_stats(spark, sf_dir):
@@ -95,7 +102,7 @@ def score_components(spark, sf_dir):
 SELECT * FROM (SELECT query_id, parent_asin, score, row_number() OVER (PARTITION BY query_id ORDER BY {RANK_ORDER}) AS rank FROM scored)
 WHERE rank <= 10""")
 def weighted_blend_top10(spark, sf_dir):
-    return SC.rank_scored(scored(spark, sf_dir), 10).select("query_id", "parent_asin", "score", "rank")
+    return best(spark, sf_dir, 10).select("query_id", "parent_asin", "score", "rank")
 
 
 INTERPOLATED = CANDIDATES + "," + components_sql(weights="0.25 * {r} + 0.75 * {b}")
@@ -106,15 +113,14 @@ SELECT * FROM (SELECT query_id, parent_asin, score, row_number() OVER (PARTITION
 WHERE rank <= 10""")
 def intent_interpolation_top10(spark, sf_dir):
     queries = N.opening_queries(spark, sf_dir).withColumn("browsing_probability", F.lit(0.25))
-    rows = SC.score_candidates(N.opening_candidates(spark, sf_dir), queries, N.part_products(spark, sf_dir), N.part_stats(spark, sf_dir))
-    return SC.rank_scored(rows, 10).select("query_id", "parent_asin", "score", "rank")
+    return best(spark, sf_dir, 10, queries).select("query_id", "parent_asin", "score", "rank")
 
 
 @query("recommendation_payload", f"""WITH {SCORED},
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {RANK_ORDER}) AS rank FROM scored) WHERE rank <= 3)
 SELECT query_id, parent_asin, rank, score, title, price, price_is_lower_bound, rating_number, average_rating, description FROM best""")
 def recommendation_payload(spark, sf_dir):
-    return SC.enrich(SC.rank_scored(scored(spark, sf_dir), 3), N.part_products(spark, sf_dir))
+    return SC.enrich(best(spark, sf_dir, 3), N.part_products(spark, sf_dir))
 
 
 TOP100 = SCORED + f""",
@@ -136,7 +142,8 @@ gains AS (
 
 
 def top100(spark, sf_dir):
-    return SC.rank_scored(scored(spark, sf_dir), V.QUESTION_CANDIDATES)
+    return built_once(
+        spark, sf_dir, "top100", build=lambda: write_table(best(spark, sf_dir, V.QUESTION_CANDIDATES), "top100"))
 
 
 @query("information_gain", f"""WITH {TOP100}
@@ -157,10 +164,10 @@ qs AS (SELECT query_id, attribute, round(0.65::DOUBLE * round(gain, 12) + 0.30::
 SELECT query_id, attribute AS ask_attribute, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, position) AS n FROM qs) WHERE n = 1""")
 def question_choice(spark, sf_dir):
-    best = top100(spark, sf_dir).select("query_id", "parent_asin")
+    pool = top100(spark, sf_dir).select("query_id", "parent_asin")
     products = N.part_products(spark, sf_dir)
     groups = C.question_category(N.opening_queries(spark, sf_dir), products)
-    return FA.select_question(FA.question_scores(FA.question_gains(best, C.attribute_values(products), groups)))
+    return FA.select_question(FA.question_scores(FA.question_gains(pool, C.attribute_values(products), groups)))
 
 
 @query("facet_utility", f"""WITH {TOP100},
@@ -181,8 +188,8 @@ rec AS (SELECT v.query_id, attribute, value, n, list_distinct({S.terms('value')}
 SELECT query_id, attribute, round(1 - sum(CASE WHEN len(words) > 0 AND len(list_filter(words, lambda w: NOT list_contains(known, w))) = 0
        THEN n ELSE 0 END) / sum(n)::DOUBLE, 9) AS novelty FROM rec GROUP BY ALL""")
 def category_novelty(spark, sf_dir):
-    best = top100(spark, sf_dir).select("query_id", "parent_asin")
-    valued = best.join(C.attribute_values(N.part_products(spark, sf_dir)), "parent_asin")
+    pool = top100(spark, sf_dir).select("query_id", "parent_asin")
+    valued = pool.join(C.attribute_values(N.part_products(spark, sf_dir)), "parent_asin")
     rows = FA.category_novelty(valued, N.opening_queries(spark, sf_dir), ["query_id", "attribute"])
     return rows.withColumn("novelty", F.round("novelty", 9))
 
@@ -195,8 +202,8 @@ WHERE len(v.words) > 0 AND len(c.words) > 0
   AND (len(list_filter(v.words, lambda w: NOT list_contains(c.words, w))) = 0 OR len(list_filter(c.words, lambda w: NOT list_contains(v.words, w))) = 0)
 UNION SELECT query_id, 'budget' FROM queries WHERE budget_max IS NOT NULL""")
 def disclosed_facets(spark, sf_dir):
-    best = top100(spark, sf_dir).select("query_id", "parent_asin")
-    valued = best.join(C.attribute_values(N.part_products(spark, sf_dir)), "parent_asin")
+    pool = top100(spark, sf_dir).select("query_id", "parent_asin")
+    valued = pool.join(C.attribute_values(N.part_products(spark, sf_dir)), "parent_asin")
     queries = N.opening_queries(spark, sf_dir)
     return FA.disclosed_facets(valued, queries.select("query_id", F.explode("constraints").alias("text")), queries)
 
