@@ -98,7 +98,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for j in order[DEPTH:]:
                 path = (path << U64(8)) | (mix(sig[:, j].astype(U64)) & U64(255))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(region)), pa.array(signed(path)), pa.array(rep)], ["region", "path", "rep"])
+                [pa.array(signed(region)), pa.array(signed(path)), pa.array(rep), pa.array(np.full(len(sig), t, np.int32))], ["region", "path", "rep", "tree"])
 
 
 def _runs(steps: int):
@@ -270,9 +270,9 @@ def _classes(docs: DataFrame, percent: int) -> DataFrame:
         full.select("id", "n", "k1", "k2", "sig").join(classes.select(F.col("rep").alias("id"), "k1", "k2", "n"), ["id", "k1", "k2", "n"], "left_semi")
         .dropDuplicates(["id", "k1", "k2"]), "reps").select("id", "n", "sig")
 
-    forest = keep(reps.select("id", "sig").mapInArrow(_forest, "region long, path long, rep long"), "forest")
-    # Next neighbours link most of what belongs together; the farther ones are then compared across components only.
-    likely = keep(_likely_pairs(_neighbours(forest.withColumn("comp", F.col("rep")), 1), reps, percent), "likely")
+    forest = keep(reps.select("id", "sig").mapInArrow(_forest, "region long, path long, rep long, tree int"), "forest")
+    # Next neighbours in a first tree link most of what belongs together; all others are then compared across components only.
+    likely = keep(_likely_pairs(_neighbours(forest.where("tree = 0").withColumn("comp", F.col("rep")), 1), reps, percent), "likely")
     crowded = forest.groupBy("region").agg(F.count("*").alias("members")).where(F.col("members") > NEIGHBOURS + 1)
     crowd = keep(forest.join(crowded, "region").select("region", "members", F.col("rep").alias("id")), "crowd")
     links = _confirm(likely, _set_table(docs, likely.select(F.col("a").alias("id")).union(likely.select("b"))), percent)
