@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 
 from lodestone.functions import vocab as V
 from lodestone.operators.retrieval import top_k
-from lodestone.operators.scoring import rank_scored
-from lodestone.session import at_most
+from lodestone.operators.scoring import blended_topk, rank_scored, score_candidates
+from lodestone.session import at_most, write_table
 
 # Queries per block and vectors per block: bounds one task's matrices to a few hundred megabytes.
 QUERY_BLOCK = 2048
@@ -109,6 +109,103 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, dimensions: int)
     return top_k(matches, k, F.desc("similarity"), F.asc("parent_asin"))
 
 
+# Vectors of one cell that a task holds, and queries that it answers with them.
+CELL_PART = 4096
+CELL_QUERIES = 1024
+
+
+class CellIndex:
+    """Unit vectors by their nearest pivot; a cell knows the widest angle between its pivot and a member."""
+
+    def __init__(self, members: DataFrame, cells: DataFrame, pivots: np.ndarray):
+        self.members = members  # cell, part, parent_asin, embedding
+        self.cells = cells      # cell, radius, vectors
+        self.pivots = pivots
+
+
+def build_cells(vectors: DataFrame, cells: int | None = None) -> CellIndex:
+    """Cells around pivots drawn by hash: about the root of the number of vectors, so cells and members of a cell grow alike.
+
+    Pivots go to every task; at 10^8 vectors of 64 components they take 5 MB.
+    """
+    rows = vectors.select(F.col("parent_asin").cast("string").alias("parent_asin"), F.col("embedding").cast("array<double>").alias("embedding"))
+    total = rows.count()
+    wanted = cells or max(1, int(total ** 0.5))
+    drawn = rows.orderBy(F.xxhash64("parent_asin"), "parent_asin").limit(wanted).select("embedding").collect()
+    pivots = np.array([r[0] for r in drawn], np.float64).reshape(len(drawn), -1)
+    shared = rows.sparkSession.sparkContext.broadcast(pivots)
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                cosine = np.clip(np.stack(batch["embedding"].to_numpy()) @ shared.value.T, -1.0, 1.0)
+                cell = cosine.argmax(axis=1)
+                yield batch.assign(cell=cell, angle=np.arccos(cosine[np.arange(len(batch)), cell]))
+
+    members = write_table(rows.mapInPandas(assign, "parent_asin string, embedding array<double>, cell int, angle double"), "cells")
+    sizes = write_table(members.groupBy("cell").agg(F.max("angle").alias("radius"), F.count("*").alias("vectors")), "cell_sizes")
+    part = F.expr(f"cast(pmod(xxhash64(parent_asin), greatest(1, ceil(vectors / {CELL_PART}))) as int)")
+    return CellIndex(members.join(sizes, "cell").select("cell", part.alias("part"), "parent_asin", "embedding"), sizes, pivots)
+
+
+def _cell_bounds(index: CellIndex, unit: DataFrame) -> DataFrame:
+    """(query_id, cell, vectors, bound): no member of the cell has a larger cosine, by the triangle inequality of angles."""
+    sc = unit.sparkSession.sparkContext
+    facts = {r["cell"]: (r["radius"], r["vectors"]) for r in index.cells.collect()}  # one row per pivot
+    cell = np.array(sorted(facts), np.int64)
+    radius, size = np.array([facts[c][0] for c in cell.tolist()]), np.array([facts[c][1] for c in cell.tolist()], np.int64)
+    shared = sc.broadcast((index.pivots, cell, radius, size))
+
+    def bounds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pivots, cell, radius, size = shared.value
+        for batch in batches:
+            if len(batch) and len(cell):
+                angle = np.arccos(np.clip(np.stack(batch["embedding"].to_numpy()) @ pivots[cell].T, -1.0, 1.0))
+                best = np.cos(np.maximum(0.0, angle - radius))
+                yield pd.DataFrame({
+                    "query_id": np.repeat(batch["query_id"].to_numpy(), len(cell)), "cell": np.tile(cell, len(batch)), "vectors": np.tile(size, len(batch)),
+                    "bound": best.ravel()})
+
+    return unit.mapInPandas(bounds, "query_id string, cell int, vectors long, bound double")
+
+
+def _search_cells(index: CellIndex, unit: DataFrame, routes: DataFrame, k: int) -> DataFrame:
+    """The best ``k`` of every part of the routed cells.  ``routes``: query_id, cell."""
+    groups = max(1, -(-unit.count() // CELL_QUERIES))
+    asked = routes.select("query_id", "cell").join(unit, "query_id").withColumn("group", F.expr(f"cast(pmod(xxhash64(query_id), {groups}) as int)"))
+    parts = index.members.select("cell", "part").distinct()
+    wanted = asked.select("cell", "group").distinct()
+    left = asked.join(parts, "cell").select(F.col("cell").alias("cell"), F.col("part").alias("part"), F.col("group").alias("group"), "query_id", "embedding")
+    right = index.members.join(wanted, "cell").select(F.col("cell").alias("cell"), F.col("part").alias("part"), F.col("group").alias("group"), "parent_asin", "embedding")
+
+    def pair(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or v.empty:
+            return pd.DataFrame({"query_id": [], "parent_asin": [], "similarity": []})
+        ids, matrix = v["parent_asin"].to_numpy(), np.stack(v["embedding"].to_numpy())
+        return _best(q["query_id"].to_numpy(), np.stack(q["embedding"].to_numpy()), ids, matrix, k)
+
+    keys = ["cell", "part", "group"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(pair, _MATCHES)
+
+
+def cell_topk(index: CellIndex, queries: DataFrame, k: int, dimensions: int) -> DataFrame:
+    """As ``dense_topk``, exact, reading only cells that can hold one of the best ``k``.
+
+    The cells with the highest bounds that together hold ``k`` vectors are searched first; a cell whose bound is under the k-th cosine
+    found there is skipped.
+    """
+    unit = write_table(normalized_queries(queries, dimensions), "unit_queries")
+    bounds = _cell_bounds(index, unit)
+    order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "cell")
+    before = F.coalesce(F.sum("vectors").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bounds = write_table(bounds.withColumn("first", before < k), "cell_bounds")
+    head = write_table(top_k(_search_cells(index, unit, bounds.where("first"), k), k, F.desc("similarity"), F.asc("parent_asin")), "head")
+    kth = head.where(F.col("rank") == k).select("query_id", F.col("similarity").alias("kth"))
+    routes = bounds.where("not first").join(kth, "query_id", "left").where(F.coalesce(F.col("bound") >= F.col("kth") - 1e-8, F.lit(True)))
+    found = head.drop("rank").unionByName(_search_cells(index, unit, routes, k))
+    return top_k(found, k, F.desc("similarity"), F.asc("parent_asin"))
+
+
 def dense_scores(matches: DataFrame, mode: str = "margin") -> DataFrame:
     """Similarities calibrated per query: ``margin`` above the weakest match, or ``minmax`` to [0, 1]."""
     if mode not in ("margin", "minmax"):
@@ -129,6 +226,24 @@ def hybrid_pool(lexical_pool: DataFrame, dense: DataFrame) -> DataFrame:
     return a.unionByName(b).groupBy("query_id", "parent_asin").agg(F.max("lexical_rank").alias("lexical_rank"))
 
 
+def hybrid_topk(
+    lexical: DataFrame, dense: DataFrame, queries: DataFrame, products: DataFrame, stats: DataFrame, k: int, dense_limit: int,
+    weights: dict[str, float] | None = None, requires_constraints: bool = True,
+) -> DataFrame:
+    """Best ``k`` of lexical hits, the query's category and dense matches by blended score.
+
+    ``dense``: query_id, parent_asin, similarity, dense_score; at most ``dense_limit`` a query.  A product without a dense match is ordered by
+    its base score alone, so the best ``k + dense_limit`` by base score and all dense matches hold the answer.
+    """
+    base = blended_topk(lexical, queries, products, stats, k + dense_limit).drop("rank")
+    ranks = lexical.select("query_id", "parent_asin", F.col("rank").alias("lexical_rank"))
+    counts = ranks.groupBy("query_id").agg(F.max("lexical_rank").alias("lexical_count"))
+    matched = dense.select("query_id", "parent_asin").join(ranks, ["query_id", "parent_asin"], "left").join(counts, "query_id", "left")
+    scored = base.unionByName(score_candidates(matched, queries, products, stats)).dropDuplicates(["query_id", "parent_asin"])
+    known = queries.select("query_id", (F.size("constraints") > 0).alias("has_constraints"))
+    return hybrid_rank(scored, dense, known, weights, requires_constraints).where(F.col("rank") <= k)
+
+
 def hybrid_rank(
     scored: DataFrame, dense: DataFrame, has_constraints: DataFrame, weights: dict[str, float] | None = None,
     requires_constraints: bool = True,

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import messages as M
 from lodestone.functions import vocab as V
 from lodestone.operators import facets as FA
 from lodestone.operators import scoring as SC
+from lodestone.operators import vectors as D
 from lodestone.plans import inputs as N
 from lodestone.plans import sql as S
 from lodestone.plans.registry import built_once, query
-from lodestone.plans.search_queries import CANDIDATES
+from lodestone.plans.search_queries import CANDIDATES, CENTROIDS, PART_SEARCH, centroid_queries, vectors
 from lodestone.session import write_table
 from lodestone.sources import adapters as A
 from lodestone.sources import catalog as C
@@ -105,6 +107,48 @@ def weighted_blend_top10(spark, sf_dir):
     return best(spark, sf_dir, 10).select("query_id", "parent_asin", "score", "rank")
 
 
+DENSE_LIMIT = 50
+# Every opening query takes the mean vector of one label, chosen by the length of its text.
+DENSE = f"""{CENTROIDS},
+chosen AS (SELECT query_id, CAST((length(query_text) % (SELECT count(DISTINCT label) FROM embeddings)) AS BIGINT) AS place FROM queries),
+named AS (SELECT DISTINCT CAST(label AS VARCHAR) AS label, dense_rank() OVER (ORDER BY label) - 1 AS place FROM embeddings),
+dense AS (
+  SELECT c.query_id, d.parent_asin, d.similarity, row_number() OVER (PARTITION BY c.query_id ORDER BY d.similarity DESC, d.parent_asin) AS rank
+  FROM chosen c JOIN named USING (place) JOIN sims d ON d.query_id = named.label WHERE d.parent_asin IN (SELECT parent_asin FROM products) QUALIFY rank <= {DENSE_LIMIT}),
+calibrated AS (SELECT *, round(similarity - min(similarity) OVER (PARTITION BY query_id), 9) AS dense_score FROM dense)"""
+_WEIGHT_SQL = f"CASE WHEN constraint_text IS NULL THEN 0.0::DOUBLE WHEN intent = 'buying' THEN {V.EMBEDDING_WEIGHTS['buying']}::DOUBLE ELSE {V.EMBEDDING_WEIGHTS['browsing']}::DOUBLE END"
+
+
+@query("hybrid_top10", f"""WITH {PART_SEARCH}, {DENSE},
+cand AS (
+  SELECT query_id, parent_asin, max(r) AS lexical_rank FROM (
+    SELECT query_id, parent_asin, rank AS r FROM lexical
+    UNION ALL SELECT query_id, parent_asin, NULL FROM queries JOIN products ON lower(category) = category_key
+    UNION ALL SELECT query_id, parent_asin, NULL FROM dense)
+  GROUP BY ALL),
+{components_sql()},
+mixed AS (
+  SELECT s.query_id, s.parent_asin, s.lexical_rank, coalesce(c.dense_score, 0.0::DOUBLE) AS dense_score,
+         round((1 - {_WEIGHT_SQL}) * s.score + {_WEIGHT_SQL} * coalesce(c.dense_score, 0.0::DOUBLE), 9) AS score
+  FROM scored s LEFT JOIN calibrated c USING (query_id, parent_asin))
+SELECT query_id, parent_asin, dense_score, score,
+       row_number() OVER (PARTITION BY query_id ORDER BY score DESC, dense_score DESC, lexical_rank NULLS LAST, parent_asin) AS rank
+FROM mixed QUALIFY rank <= 10""")
+def hybrid_top10(spark, sf_dir):
+    products, queries = N.part_products(spark, sf_dir), N.opening_queries(spark, sf_dir)
+    labels = A.table(spark, sf_dir, "embeddings").select("label").distinct()
+    named = labels.withColumn("place", F.dense_rank().over(Window.orderBy("label")) - 1)  # one row per label
+    place = F.pmod(F.length("query_text"), F.lit(labels.count()))
+    chosen = queries.select("query_id", place.alias("place")).join(named, "place")
+    means = centroid_queries(spark, sf_dir).withColumnRenamed("query_id", "name")
+    wanted = chosen.select("query_id", F.col("label").cast("string").alias("name")).join(means, "name").select("query_id", "embedding")
+    rows = vectors(spark, sf_dir).join(products.select("parent_asin"), "parent_asin", "left_semi")
+    matches = D.cell_topk(D.build_cells(rows), wanted, DENSE_LIMIT, 64)
+    dense = write_table(D.dense_scores(matches, "margin"), "dense")
+    best = D.hybrid_topk(N.opening_lexical(spark, sf_dir), dense, queries, products, N.part_stats(spark, sf_dir), V.TOP_K, DENSE_LIMIT)
+    return best.select("query_id", "parent_asin", "dense_score", "score", "rank")
+
+
 INTERPOLATED = CANDIDATES + "," + components_sql(weights="0.25 * {r} + 0.75 * {b}")
 
 

@@ -53,7 +53,7 @@ def write_table(df: DataFrame, name: str, partition_by: list[str] | None = None,
     if compression:
         writer = writer.option("compression", compression)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def at_most(df: DataFrame, rows: int) -> bool:
