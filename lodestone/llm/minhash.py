@@ -28,6 +28,7 @@ MINIMA = 64
 TREES = 16
 DEPTH = 4
 NEIGHBOURS = 8
+ROUNDS = ((2, 1), (8, 2), (TREES, NEIGHBOURS))  # trees and distances of each round of candidates
 BLOCK = 1024  # members of a crowded region that one task holds against as many others
 # Fewer equal minima than this happen to a pair at the threshold once in a million: 5 standard deviations below its mean.
 _DRAW = np.random.default_rng(20240607)
@@ -271,20 +272,23 @@ def _classes(docs: DataFrame, percent: int) -> DataFrame:
         .dropDuplicates(["id", "k1", "k2"]), "reps").select("id", "n", "sig")
 
     forest = keep(reps.select("id", "sig").mapInArrow(_forest, "region long, path long, rep long, tree int"), "forest")
-    # Next neighbours in a first tree link most of what belongs together; all others are then compared across components only.
-    likely = keep(_likely_pairs(_neighbours(forest.where("tree = 0").withColumn("comp", F.col("rep")), 1), reps, percent), "likely")
     crowded = forest.groupBy("region").agg(F.count("*").alias("members")).where(F.col("members") > NEIGHBOURS + 1)
     crowd = keep(forest.join(crowded, "region").select("region", "members", F.col("rep").alias("id")), "crowd")
-    links = _confirm(likely, _set_table(docs, likely.select(F.col("a").alias("id")).union(likely.select("b"))), percent)
-    labels = keep(components(links), "labels")
+    links = labels = None
 
     def label(df: DataFrame, column: str, name: str) -> DataFrame:
+        if labels is None:
+            return df.withColumn(name, F.col(column))
         side = labels.select(F.col("id").alias(column), F.col("component").alias(name))
         return df.join(side, column, "left").withColumn(name, F.coalesce(name, column))
 
-    apart = keep(_likely_pairs(_neighbours(label(forest, "rep", "comp"), NEIGHBOURS), reps, percent), "apart")
-    links = links.union(_confirm(apart, _set_table(docs, apart.select(F.col("a").alias("id")).union(apart.select("b"))), percent))
-    labels = keep(components(links), "labels")
+    # Next neighbours in few trees link most of what belongs together; later rounds compare across components only.
+    for trees, steps in ROUNDS:
+        pairs = _neighbours(label(forest.where(F.col("tree") < trees), "rep", "comp"), steps)
+        likely = keep(_likely_pairs(pairs, reps, percent), "likely")
+        found = _confirm(likely, _set_table(docs, likely.select(F.col("a").alias("id")).union(likely.select("b"))), percent)
+        links = found if links is None else links.union(found)
+        labels = keep(components(links), "labels")
 
     inside = label(crowd, "id", "component")
     split = inside.groupBy("region").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("region")
