@@ -42,7 +42,7 @@ def encoder(path: str):
     """A function from text to ids for a byte-level vocabulary file of the ``tokenizers`` library.
 
     Ids of such a file are merge ranks, so ``tiktoken`` gives the same ids several times faster; a text on which its pattern
-    engine gives up goes to ``tokenizers``.  Names of special tokens in a text are ordinary text.
+    engine gives up, or that holds the name of a token added to the vocabulary, goes to ``tokenizers``.
     """
     if path not in _ENCODERS:
         import public_tokenizers
@@ -50,17 +50,19 @@ def encoder(path: str):
         from tokenizers import Tokenizer
 
         slow = Tokenizer.from_file(path)
-        slow.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        special = {t["id"] for t in spec.get("added_tokens", [])}
+        added = spec.get("added_tokens", [])
+        special, names = {t["id"] for t in added}, tuple(t["content"] for t in added)
         byte_of = _byte_of()
         ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if i not in special}
         fast = tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        _ENCODERS[path] = (fast, slow)
-    fast, slow = _ENCODERS[path]
+        _ENCODERS[path] = (fast, slow, names)
+    fast, slow, names = _ENCODERS[path]
 
     def encode(text: str) -> list[int]:
+        if any(name in text for name in names):
+            return slow.encode(text, add_special_tokens=False).ids
         try:
             return fast.encode_ordinary(text)
         except Exception:  # noqa: BLE001  its pattern engine limits its steps
