@@ -28,7 +28,7 @@ MINIMA = 64
 TREES = 16
 DEPTH = 4
 NEIGHBOURS = 8
-ROUNDS = ((2, 1), (8, 2), (TREES, NEIGHBOURS))  # trees and distances of each round of candidates
+ROUNDS = ((1, 1), (TREES, NEIGHBOURS))  # trees and distances of each round of candidates
 BLOCK = 1024  # members of a crowded region that one task holds against as many others
 # Fewer equal minima than this happen to a pair at the threshold once in a million: 5 standard deviations below its mean.
 _DRAW = np.random.default_rng(20240607)
@@ -99,38 +99,42 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for j in order[DEPTH:]:
                 path = (path << U64(8)) | (mix(sig[:, j].astype(U64)) & U64(255))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(region)), pa.array(signed(path)), pa.array(rep), pa.array(np.full(len(sig), t, np.int32))], ["region", "path", "rep", "tree"])
+                [pa.array(signed(region)), pa.array(signed(path)), pa.array(rep), batch.column("n"), pa.array(np.full(len(sig), t, np.int32))],
+                ["region", "path", "rep", "n", "tree"])
 
 
-def _runs(steps: int):
-    """Sorted (region, path, rep, comp) rows: pairs at most ``steps`` apart in one region and of different components, and the first
-    and last ``steps`` rows of the task (with ``part`` and ``row``), whose neighbours may lie in another task."""
-    names = ["a", "b", "part", "row", "region", "comp"]
+def _runs(steps: int, percent: int):
+    """Sorted (region, path, rep, n, comp) rows: pairs at most ``steps`` apart in one region, of different components and of sizes that
+    allow the threshold, and the first and last ``steps`` rows of the task (with ``part`` and ``row``), whose neighbours may lie in
+    another task."""
+    names = ["a", "b", "part", "row", "region", "comp", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), 0
-        region, rep, comp = (np.zeros(0, np.int64) for _ in range(3))
+        region, rep, comp, size = (np.zeros(0, np.int64) for _ in range(4))
 
         def edge(lo: int, hi: int, first: int) -> pa.RecordBatch:
             n = hi - lo
             return pa.RecordBatch.from_arrays(
                 [pa.array(rep[lo:hi]), pa.nulls(n, pa.int64()), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(first, first + n)),
-                 pa.array(region[lo:hi]), pa.array(comp[lo:hi])], names)
+                 pa.array(region[lo:hi]), pa.array(comp[lo:hi]), pa.array(size[lo:hi])], names)
 
         for batch in batches:
             old = len(rep)
-            region, rep, comp = (np.concatenate((x, batch.column(c).to_numpy())) for x, c in ((region, "region"), (rep, "rep"), (comp, "comp")))
+            region, rep, comp, size = (
+                np.concatenate((x, batch.column(c).to_numpy())) for x, c in ((region, "region"), (rep, "rep"), (comp, "comp"), (size, "n")))
             for d in range(1, min(steps, len(rep) - 1) + 1):
-                hit = np.flatnonzero((region[d:] == region[:-d]) & (comp[d:] != comp[:-d]) & (rep[d:] != rep[:-d]) & (np.arange(d, len(rep)) >= old))
+                fits = 100 * np.minimum(size[d:], size[:-d]) >= percent * np.maximum(size[d:], size[:-d])
+                hit = np.flatnonzero(fits & (region[d:] == region[:-d]) & (comp[d:] != comp[:-d]) & (rep[d:] != rep[:-d]) & (np.arange(d, len(rep)) >= old))
                 a, b = rep[hit], rep[hit + d]
                 none = len(hit)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(none, pa.int32()), pa.nulls(none, pa.int64()), pa.nulls(none, pa.int64()),
-                     pa.nulls(none, pa.int64())], names)
+                     pa.nulls(none, pa.int64()), pa.nulls(none, pa.int64())], names)
             if seen < steps:
                 yield edge(old, min(len(rep), old + steps - seen), seen)
             seen += batch.num_rows
-            region, rep, comp = region[-steps:], rep[-steps:], comp[-steps:]
+            region, rep, comp, size = region[-steps:], rep[-steps:], comp[-steps:], size[-steps:]
         # The last rows, without those that are among the first.
         lo = max(0, len(rep) - (seen - steps)) if seen < 2 * steps else 0
         if seen > steps:
@@ -138,21 +142,22 @@ def _runs(steps: int):
     return run
 
 
-def _neighbours(forest: DataFrame, steps: int) -> DataFrame:
-    """Different pairs (a, b) of one region within ``steps`` of each other whose components differ.
+def _neighbours(forest: DataFrame, steps: int, percent: int) -> DataFrame:
+    """Different pairs (a, b) of one region within ``steps`` of each other whose components differ and whose sizes allow the threshold.
 
     The order is global, so a region of any size is spread over tasks.
     """
     sort = forest.repartitionByRange("region", "path", "rep").sortWithinPartitions("region", "path", "rep")
-    found = keep(sort.mapInArrow(_runs(steps), "a long, b long, part int, row long, region long, comp long"), "runs")
+    found = keep(sort.mapInArrow(_runs(steps, percent), "a long, b long, part int, row long, region long, comp long, n long"), "runs")
     edges = found.where("part is not null")
     sizes = edges.groupBy("part").agg((F.max("row") + 1).alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per task of the sort
     sizes = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    edges = edges.join(sizes, "part").select("region", F.struct((F.col("before") + F.col("row")).alias("at"), "part", F.col("a").alias("rep"), "comp").alias("x"))
+    edges = edges.join(sizes, "part").select("region", F.struct((F.col("before") + F.col("row")).alias("at"), "part", F.col("a").alias("rep"), "comp", "n").alias("x"))
     order = Window.partitionBy("region").orderBy("x.at").rowsBetween(1, 2 * steps)
     met = edges.withColumn("near", F.collect_list("x").over(order)).select("x", F.explode("near").alias("y")).where(
-        (F.col("y.at") - F.col("x.at") <= steps) & (F.col("x.part") != F.col("y.part")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.rep") != F.col("y.rep")))
+        (F.col("y.at") - F.col("x.at") <= steps) & (F.col("x.part") != F.col("y.part")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.rep") != F.col("y.rep"))
+        & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")))
     met = met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
     return found.where("b is not null").select("a", "b").union(met).distinct()
 
@@ -271,7 +276,7 @@ def _classes(docs: DataFrame, percent: int) -> DataFrame:
         full.select("id", "n", "k1", "k2", "sig").join(classes.select(F.col("rep").alias("id"), "k1", "k2", "n"), ["id", "k1", "k2", "n"], "left_semi")
         .dropDuplicates(["id", "k1", "k2"]), "reps").select("id", "n", "sig")
 
-    forest = keep(reps.select("id", "sig").mapInArrow(_forest, "region long, path long, rep long, tree int"), "forest")
+    forest = keep(reps.select("id", "sig", "n").mapInArrow(_forest, "region long, path long, rep long, n long, tree int"), "forest")
     crowded = forest.groupBy("region").agg(F.count("*").alias("members")).where(F.col("members") > NEIGHBOURS + 1)
     crowd = keep(forest.join(crowded, "region").select("region", "members", F.col("rep").alias("id")), "crowd")
     links = labels = None
@@ -284,7 +289,7 @@ def _classes(docs: DataFrame, percent: int) -> DataFrame:
 
     # Next neighbours in few trees link most of what belongs together; later rounds compare across components only.
     for trees, steps in ROUNDS:
-        pairs = _neighbours(label(forest.where(F.col("tree") < trees), "rep", "comp"), steps)
+        pairs = _neighbours(label(forest.where(F.col("tree") < trees), "rep", "comp"), steps, percent)
         likely = keep(_likely_pairs(pairs, reps, percent), "likely")
         found = _confirm(likely, _set_table(docs, likely.select(F.col("a").alias("id")).union(likely.select("b"))), percent)
         links = found if links is None else links.union(found)

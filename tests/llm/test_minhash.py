@@ -64,11 +64,11 @@ def test_neighbours_across_tasks(spark):
     from lodestone.llm.minhash import _neighbours
     rng = random.Random(4)
     for size, steps, parts in ((300, 3, 7), (40, 8, 12), (5, 2, 9), (0, 2, 3)):
-        rows = [(rng.choice([1, 1, 1, 2, 3]), rng.randrange(9), i, rng.randrange(6)) for i in range(size)]
+        rows = [(rng.choice([1, 1, 1, 2, 3]), rng.randrange(9), i, rng.randrange(6), rng.randint(80, 110)) for i in range(size)]
         spark.conf.set("spark.sql.shuffle.partitions", str(parts))
-        got = sorted(tuple(r) for r in _neighbours(spark.createDataFrame(rows, "region long, path long, rep long, comp long"), steps).collect())
+        got = sorted(tuple(r) for r in _neighbours(spark.createDataFrame(rows, "region long, path long, rep long, comp long, n long"), steps, 85).collect())
         ordered, want = sorted(rows), set()
         for i, x in enumerate(ordered):
-            want |= {(min(x[2], y[2]), max(x[2], y[2])) for y in ordered[i + 1:i + steps + 1] if x[0] == y[0] and x[3] != y[3]}
+            want |= {(min(x[2], y[2]), max(x[2], y[2])) for y in ordered[i + 1:i + steps + 1] if x[0] == y[0] and x[3] != y[3] and 100 * min(x[4], y[4]) >= 85 * max(x[4], y[4])}
         assert got == sorted(want)
     spark.conf.set("spark.sql.shuffle.partitions", "4")
