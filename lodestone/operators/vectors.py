@@ -132,7 +132,7 @@ def build_cells(vectors: DataFrame, cells: int | None = None) -> CellIndex:
     total = rows.count()
     wanted = cells or max(1, int(total ** 0.5))
     drawn = rows.orderBy(F.xxhash64("parent_asin"), "parent_asin").limit(wanted).select("embedding").collect()
-    pivots = np.array([r[0] for r in drawn], np.float64).reshape(len(drawn), -1)
+    pivots = np.array([r[0] for r in drawn], np.float64)
     shared = rows.sparkSession.sparkContext.broadcast(pivots)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -60,7 +60,7 @@ def test_hybrid_with_an_encoder(spark, catalog):
     encoded = queries.select("query_id", encode(F.col("category")).alias("embedding"))
     products = C.products(catalog)
     stats = C.catalog_stats(products)
-    vectors = spark.createDataFrame([(f"P{i}", v) for i, v in enumerate([[1.0, 0, 0], [0.6, 0.8, 0], [0, 1.0, 0], [0.8, 0.6, 0]])], "parent_asin string, embedding array<double>")
+    vectors = spark.createDataFrame([(f"P{i}", v) for i, v in enumerate([[1.0, 0.0, 0.0], [0.6, 0.8, 0.0], [0.0, 1.0, 0.0], [0.8, 0.6, 0.0]])], "parent_asin string, embedding array<double>")
     lexical = spark.createDataFrame([("a", "P0", 1), ("a", "P3", 2), ("b", "P3", 1), ("c", "P5", 1)], "query_id string, parent_asin string, rank int")
     dense = D.dense_scores(D.cell_topk(D.build_cells(vectors), encoded, 2, 3))
     everything = D.hybrid_pool(R.candidate_union(lexical, R.category_route(queries, products)), dense)
