@@ -10,6 +10,8 @@ MODULES = (
     "slot_queries",
     "extraction_queries",
     "session_queries",
+    "serving_queries",
+    "function_queries",
 )
 
 

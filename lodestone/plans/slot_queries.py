@@ -242,19 +242,59 @@ def _slot_scored(spark, sf_dir):
     return RR.slot_constraint_scores(pool, _view(spark, sf_dir), evidence)
 
 
-@query("slot_constraint_scores", f"""WITH {SCORED_SLOTS}
+# Which slots of the request a product shows at all.
+SIGNED_SLOTS = SCORED_SLOTS + """,
+requested AS (SELECT query_id, slot FROM pos UNION SELECT query_id, slot FROM neg UNION SELECT query_id, 'category' FROM catterms),
+shown AS (SELECT parent_asin, slot FROM slots UNION SELECT parent_asin, 'price' FROM products WHERE price IS NOT NULL),
+signed AS (
+  SELECT s.query_id, s.parent_asin, coalesce(string_agg(h.slot, ',' ORDER BY h.slot), '') AS signature
+  FROM slot_scored s LEFT JOIN requested r USING (query_id) LEFT JOIN shown h ON h.parent_asin = s.parent_asin AND h.slot = r.slot GROUP BY ALL),
+totaled AS (
+  SELECT s.*, signature, price, round(0.45 * rrf + 0.15 * category_match + 0.25 * positive_match + 0.15 * exact_match - 0.10 * negative_match, 9) AS total
+  FROM slot_scored s JOIN signed USING (query_id, parent_asin) JOIN products USING (parent_asin))"""
+
+
+@query("slot_constraint_scores", f"""WITH {SIGNED_SLOTS}
 SELECT query_id, parent_asin, round(rrf, 9) AS rrf, round(category_match, 9) AS category_match, round(positive_match, 9) AS positive_match,
-  round(exact_match, 9) AS exact_match, round(negative_match, 9) AS negative_match,
-  round(0.45 * rrf + 0.15 * category_match + 0.25 * positive_match + 0.15 * exact_match - 0.10 * negative_match, 9) AS total FROM slot_scored""")
+  round(exact_match, 9) AS exact_match, round(negative_match, 9) AS negative_match, signature, total FROM totaled""")
 def slot_constraint_scores(spark, sf_dir):
-    return _slot_scored(spark, sf_dir).drop("fused_rank", "price", "signature")
+    return _slot_scored(spark, sf_dir).drop("fused_rank", "price")
 
 
-@query("guarded_insertion")
+@query("guarded_insertion", f"""WITH RECURSIVE {SIGNED_SLOTS},
+page AS (SELECT query_id, fused_rank, {{'p': parent_asin, 'r': fused_rank, 's': signature, 't': total}} AS c FROM totaled WHERE fused_rank <= 10),
+walk AS (
+  SELECT query_id, fused_rank AS k, [c] AS done FROM page WHERE fused_rank = 1
+  UNION ALL
+  SELECT query_id, k, list_concat(list_concat(done[1:stay], [c]), done[stay + 1:]) FROM (
+    SELECT w.query_id, n.fused_rank AS k, w.done, n.c,
+           list_max(list_transform(w.done, lambda e, i: CASE WHEN e.s = n.c.s AND e.t < n.c.t THEN 0 ELSE i END)) AS stay
+    FROM walk w JOIN page n ON n.query_id = w.query_id AND n.fused_rank = w.k + 1)),
+ended AS (SELECT query_id, arg_max(done, k) AS done FROM walk GROUP BY 1),
+placed AS (SELECT query_id, unnest(done) AS e, generate_subscripts(done, 1) AS rank FROM ended)
+SELECT query_id, e.p AS parent_asin, e.r AS fused_rank, rank, e.t AS total FROM placed""")
 def guarded_insertion(spark, sf_dir):
     return RR.guarded_insertion(_slot_scored(spark, sf_dir))
 
 
+@query("structured_order", f"""WITH {SIGNED_SLOTS},
+budget AS (SELECT DISTINCT query_id, ['max', 'min', 'around'][length(category) % 3 + 1] AS kind, budget_max AS amount FROM queries WHERE budget_max IS NOT NULL),
+fitted AS (
+  SELECT query_id, parent_asin, fused_rank, total, kind, bool_or(price IS NULL) OVER (PARTITION BY query_id) AS unpriced,
+         CASE kind WHEN 'max' THEN CASE WHEN price <= amount THEN 1 ELSE 0 END WHEN 'min' THEN CASE WHEN price >= amount THEN 1 ELSE 0 END
+              ELSE greatest(0, 1 - abs(price - amount) / greatest(amount, 1)) END AS fit
+  FROM totaled LEFT JOIN budget USING (query_id)),
+judged_budget AS (SELECT *, CASE WHEN kind IS NULL THEN total WHEN NOT unpriced THEN round(0.85::DOUBLE * total + 0.15::DOUBLE * fit, 12) END AS structured_score FROM fitted)
+SELECT query_id, parent_asin, fused_rank, structured_score,
+       row_number() OVER (PARTITION BY query_id ORDER BY structured_score DESC NULLS LAST, fused_rank) AS structured_rank FROM judged_budget""")
+def structured_order(spark, sf_dir):
+    """The budgets of the openings, told as ceilings, floors and centres by the length of the category."""
+    queries = N.opening_queries(spark, sf_dir).filter("budget_max is not null")
+    kinds = F.array(*[F.lit(k) for k in ("max", "min", "around")])
+    budgets = queries.select("query_id", F.get(kinds, F.length("category") % 3).alias("kind"), F.col("budget_max").alias("amount"))
+    return RR.structured_order(_slot_scored(spark, sf_dir), budgets)
+
+
 # ---------------------------------------------------------------- feature score inputs
 
 
