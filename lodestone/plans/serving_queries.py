@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.operators import facets as FA
+from lodestone.plans import extraction_queries as EX
 from lodestone.plans import inputs as N
 from lodestone.plans import scoring_queries as SQ
 from lodestone.plans import sql as S
@@ -115,3 +116,86 @@ def fixed_order_questions(spark, sf_dir):
     state = asked_so_far(spark, sf_dir).select(
         "session_id", "turn", F.col("asked").alias("blocked"), F.col("message").startswith("Those options are not quite right").alias("prefer_other"))
     return FA.fixed_order_question(state)
+
+
+# ---------------------------------------------------------------- fine facets
+
+
+def _registry_sql() -> str:
+    rows = []
+    for group, priors in FA.FAMILY_PRIORS.items():
+        facets = [(f, family, source, public) for g, _, f, family, source, public in FA.COMMON_FACETS if g == group]
+        facets += [(f, family, "specific", "feature") for family, names in FA.SPECIFIC_FACETS[group].items() for f in names]
+        rows += [f"('{group}', '{f}', '{family}', '{source}', '{public}', {i}, {priors[family]}::DOUBLE)" for i, (f, family, source, public) in enumerate(facets)]
+    return ", ".join(rows)
+
+
+def _choice_sql(place: int, exclude: str = "true") -> str:
+    """CTEs of one choice over ``facts``."""
+    return f"""
+open{place} AS (SELECT * FROM facts f WHERE {exclude} QUALIFY stage = min(stage) OVER (PARTITION BY query_id)),
+known{place} AS (SELECT o.query_id, o.family, count(DISTINCT k.parent_asin)::BIGINT AS answerable
+  FROM open{place} o JOIN kv k USING (query_id, facet) JOIN rec r USING (query_id, facet, value) GROUP BY ALL),
+leaf{place} AS (SELECT * FROM open{place} QUALIFY row_number() OVER (PARTITION BY query_id, family
+  ORDER BY round(novelty * (0.50 * discrimination + 0.15 * answerability), 9) DESC, position) = 1),
+chosen{place} AS (
+  SELECT query_id, {place} AS place, facet, family, public_attribute,
+         round(novelty * (0.50 * discrimination + 0.15 * answerable / candidates::DOUBLE + 0.30 * prior + 0.05 * hinted), 9) AS score
+  FROM leaf{place} JOIN known{place} USING (query_id, family) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, position) = 1)"""
+
+
+FACETS = f"""{SQ.TOP100},
+prim AS (WITH {EX.REPAIRED} SELECT parent_asin, field, CASE WHEN field = 'specific_attributes' THEN name END AS name, value FROM fixed WHERE coalesce(name, '') <> 'closure_type'),
+reg(question_group, facet, family, source, public_attribute, position, prior) AS (VALUES {_registry_sql()}),
+grp AS (SELECT query_id, question_group FROM (
+  SELECT query_id, CASE WHEN category_path[3] = 'Ring' THEN 'jewelry' ELSE 'other' END AS question_group, count(*) AS n
+  FROM (SELECT query_id, parent_asin FROM top100) JOIN products USING (parent_asin) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n DESC, question_group) = 1),
+allv AS (
+  SELECT parent_asin, coalesce(name, field) AS facet, CASE WHEN name IS NULL THEN 'core' ELSE 'specific' END AS source, value FROM prim
+  UNION ALL SELECT parent_asin, 'brand', 'catalog', brand FROM products
+  UNION ALL SELECT parent_asin, 'budget', 'catalog', CASE WHEN price < 15 THEN 'under $15' WHEN price < 25 THEN '$15-$25' WHEN price < 50 THEN '$25-$50'
+    WHEN price < 100 THEN '$50-$100' ELSE 'over $100' END FROM products WHERE price IS NOT NULL),
+kv AS (SELECT t.query_id, t.parent_asin, v.facet, {S.normalized('v.value')} AS value
+  FROM top100 t JOIN grp USING (query_id) JOIN allv v ON v.parent_asin = t.parent_asin JOIN reg r ON r.question_group = grp.question_group AND r.facet = v.facet AND r.source = v.source),
+vc AS (SELECT query_id, facet, value, count(*)::BIGINT AS n FROM kv GROUP BY ALL),
+rec AS (SELECT * FROM vc WHERE n >= 2),
+util AS (
+  SELECT query_id, facet, round(sum(n) / any_value(candidates)::DOUBLE, 9) AS answerability, any_value(candidates) AS candidates,
+         round(sum(n) / any_value(candidates)::DOUBLE * ((ln(sum(n)) - sum(n * ln(n)) / sum(n)) / ln(count(*))) * least(1.0::DOUBLE, sqrt(8.0::DOUBLE / count(*))), 9) AS discrimination
+  FROM rec JOIN n100 USING (query_id) GROUP BY ALL HAVING count(*) >= 2),
+nov AS (
+  SELECT query_id, facet, 1 - sum(CASE WHEN len(words) > 0 AND len(list_filter(words, lambda w: NOT list_contains(known, w))) = 0 THEN n ELSE 0 END) / sum(n)::DOUBLE AS novelty
+  FROM (SELECT r.*, list_distinct({S.terms('value')}) AS words, list_distinct({S.terms('category')}) AS known FROM rec r JOIN queries USING (query_id)) GROUP BY ALL),
+enough AS (SELECT query_id, facet FROM kv GROUP BY ALL HAVING count(*) >= 5),
+told AS (
+  SELECT DISTINCT query_id, facet FROM (SELECT query_id, facet, list_distinct({S.terms('value')}) AS v FROM vc) JOIN
+    (SELECT query_id, list_distinct({S.terms('constraint_text')}) AS c FROM queries WHERE constraint_text IS NOT NULL) USING (query_id)
+  WHERE len(v) > 0 AND len(c) > 0 AND (len(list_filter(v, lambda w: NOT list_contains(c, w))) = 0 OR len(list_filter(c, lambda w: NOT list_contains(v, w))) = 0)
+  UNION SELECT query_id, 'budget' FROM queries WHERE budget_max IS NOT NULL),
+asked AS (SELECT query_id, CASE WHEN length(category) % 2 = 0 THEN ['color', 'size_fit'] ELSE [] END AS asked,
+  CASE WHEN length(category) % 3 = 0 THEN ['brand'] ELSE [] END AS asked_public, CASE WHEN length(category) % 5 = 0 THEN ['closure'] ELSE [] END AS declined,
+  CASE WHEN length(category) % 4 = 0 THEN ['size_fit'] ELSE [] END AS follow_up, CASE WHEN intent = 'browsing' THEN ['feature'] ELSE [] END AS hints FROM queries),
+facts AS (
+  SELECT query_id, facet, family, public_attribute, position, prior, candidates, answerability, discrimination, novelty,
+         CASE WHEN list_contains(hints, family) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS hinted, list_contains(asked, facet) OR list_contains(asked_public, public_attribute) AS old,
+         CASE WHEN old THEN 1 ELSE 0 END AS stage
+  FROM util JOIN nov USING (query_id, facet) JOIN enough USING (query_id, facet) JOIN grp USING (query_id) JOIN reg USING (question_group, facet) JOIN asked USING (query_id)
+  LEFT JOIN (SELECT *, true AS said FROM told) USING (query_id, facet)
+  WHERE novelty > 0 AND NOT list_contains(declined, facet) AND (list_contains(follow_up, facet) OR (NOT old AND said IS NULL))),{_choice_sql(1)},{
+  _choice_sql(2, "NOT EXISTS (SELECT 1 FROM chosen1 c WHERE c.query_id = f.query_id AND c.facet = f.facet)")}"""
+
+
+@query("fine_facet_questions", f"WITH {FACETS} SELECT * FROM chosen1 UNION ALL SELECT * FROM chosen2")
+def fine_facet_questions(spark, sf_dir):
+    """The two best fine facets of every opening request; what was asked and answered before is told by the category's length."""
+    queries, products = N.opening_queries(spark, sf_dir), N.part_products(spark, sf_dir)
+    listed = lambda every, *names: F.when(F.length("category") % every == 0, F.array(*map(F.lit, names))).otherwise(F.array().cast("array<string>"))
+    state = queries.select(
+        "query_id", "category", "budget_max", listed(2, "color", "size_fit").alias("asked"), listed(3, "brand").alias("asked_public"),
+        listed(5, "closure").alias("no_preference"), listed(4, "size_fit").alias("follow_up"),
+        F.when(F.col("intent") == "browsing", F.array(F.lit("feature"))).otherwise(F.array().cast("array<string>")).alias("profile_tags"))
+    candidates, registry = SQ.top100(spark, sf_dir).select("query_id", "parent_asin"), FA.facet_registry(spark)
+    groups = FA.dominant_group(candidates, products)
+    values = FA.facet_values(candidates, EX.primary(spark, sf_dir), products, registry, groups)
+    constraints = queries.select("query_id", F.explode("constraints").alias("text"))
+    return FA.select_two_facets(values, groups, state, constraints, registry)
