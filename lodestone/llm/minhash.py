@@ -103,9 +103,9 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ["region", "path", "rep", "n", "tree"])
 
 
-def _runs(steps: int, percent: int):
+def _runs(steps: int, percent: int, crowd: int | None = None):
     """Sorted (region, path, rep, n, comp) rows: pairs at most ``steps`` apart in one region, of different components and of sizes that
-    allow the threshold, and the first and last ``steps`` rows of the task (with ``part`` and ``row``), whose neighbours may lie in
+    allow the threshold (next neighbours alone in a region of more than ``crowd`` rows), and the first and last ``steps`` rows of the task (with ``part`` and ``row``), whose neighbours may lie in
     another task."""
     names = ["a", "b", "part", "row", "region", "comp", "n"]
 
@@ -123,8 +123,13 @@ def _runs(steps: int, percent: int):
             old = len(rep)
             region, rep, comp, size = (
                 np.concatenate((x, batch.column(c).to_numpy())) for x, c in ((region, "region"), (rep, "rep"), (comp, "comp"), (size, "n")))
+            first = np.flatnonzero(np.append(True, region[1:] != region[:-1])[: len(region)])
+            run_of = np.diff(np.append(first, len(region)))
+            members = np.repeat(run_of, run_of)  # rows seen of each row's region, never more than it has
             for d in range(1, min(steps, len(rep) - 1) + 1):
                 fits = 100 * np.minimum(size[d:], size[:-d]) >= percent * np.maximum(size[d:], size[:-d])
+                if crowd is not None and d > 1:
+                    fits &= members[d:] <= crowd
                 hit = np.flatnonzero(fits & (region[d:] == region[:-d]) & (comp[d:] != comp[:-d]) & (rep[d:] != rep[:-d]) & (np.arange(d, len(rep)) >= old))
                 a, b = rep[hit], rep[hit + d]
                 none = len(hit)
@@ -142,13 +147,14 @@ def _runs(steps: int, percent: int):
     return run
 
 
-def _neighbours(forest: DataFrame, steps: int, percent: int) -> DataFrame:
+def _neighbours(forest: DataFrame, steps: int, percent: int, crowd: int | None = None) -> DataFrame:
     """Different pairs (a, b) of one region within ``steps`` of each other whose components differ and whose sizes allow the threshold.
 
-    The order is global, so a region of any size is spread over tasks.
+    The order is global, so a region of any size is spread over tasks.  With ``crowd``, a region of more rows may leave out pairs
+    farther apart than one; whoever asks for that searches those regions otherwise.
     """
     sort = forest.repartitionByRange("region", "path", "rep").sortWithinPartitions("region", "path", "rep")
-    found = keep(sort.mapInArrow(_runs(steps, percent), "a long, b long, part int, row long, region long, comp long, n long"), "runs")
+    found = keep(sort.mapInArrow(_runs(steps, percent, crowd), "a long, b long, part int, row long, region long, comp long, n long"), "runs")
     edges = found.where("part is not null")
     sizes = edges.groupBy("part").agg((F.max("row") + 1).alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per task of the sort
@@ -289,7 +295,8 @@ def _classes(docs: DataFrame, percent: int) -> DataFrame:
 
     # Next neighbours in few trees link most of what belongs together; later rounds compare across components only.
     for trees, steps in ROUNDS:
-        pairs = _neighbours(label(forest.where(F.col("tree") < trees), "rep", "comp"), steps, percent)
+        # All pairs of a crowded region are searched between components below; next neighbours leave few of them.
+        pairs = _neighbours(label(forest.where(F.col("tree") < trees), "rep", "comp"), steps, percent, NEIGHBOURS + 1)
         likely = keep(_likely_pairs(pairs, reps, percent), "likely")
         found = _confirm(likely, _set_table(docs, likely.select(F.col("a").alias("id")).union(likely.select("b"))), percent)
         links = found if links is None else links.union(found)

@@ -72,3 +72,22 @@ def test_neighbours_across_tasks(spark):
             want |= {(min(x[2], y[2]), max(x[2], y[2])) for y in ordered[i + 1:i + steps + 1] if x[0] == y[0] and x[3] != y[3] and 100 * min(x[4], y[4]) >= 85 * max(x[4], y[4])}
         assert got == sorted(want)
     spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_crowded_regions_keep_next_neighbours_and_small_ones_all(spark):
+    from lodestone.llm.minhash import _neighbours
+    rng = random.Random(5)
+    rows = [(1, rng.randrange(9), i, i, 100) for i in range(60)] + [(2 + i // 5, rng.randrange(9), 100 + i, i, 100) for i in range(40)]
+    spark.conf.set("spark.sql.shuffle.partitions", "5")
+    got = {tuple(r) for r in _neighbours(spark.createDataFrame(rows, "region long, path long, rep long, comp long, n long"), 8, 85, 9).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    ordered = sorted(rows)
+    must, may = set(), set()
+    for i, x in enumerate(ordered):
+        for d, y in enumerate(ordered[i + 1:i + 9], 1):
+            if x[0] == y[0]:
+                pair = (min(x[2], y[2]), max(x[2], y[2]))
+                may.add(pair)
+                if d == 1 or x[0] > 1:
+                    must.add(pair)
+    assert must <= got <= may and len(got) < len(may)
