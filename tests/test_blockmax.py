@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.operators import blockmax as B
 from lodestone.operators import retrieval as R
 from lodestone.operators.search_index import build_index
-from lodestone.session import shared_dir
+from lodestone.session import shared_dir, write_table
 from lodestone.sources.catalog import CATALOG_SCHEMA
 
 PRODUCTS = 300
@@ -77,3 +77,26 @@ def test_plan_filters_by_term(index, queries):
 def test_no_queries(index, queries):
     full, blocks = index
     assert B.search(blocks, R.explode_terms(queries.limit(0)), full.term_stats, 5, products=64).collect() == []
+
+
+def test_ties_hand_on_a_few_k_rows(spark, queries):
+    """Products of equal score in every range: each query hands on a few k rows, however many ranges there are."""
+    catalog = spark.createDataFrame(
+        [(f"P{i:05d}", "shoe wool", ["red"], ["soft"], "1", ["Top"], {"k": f"w{i % 3}"}, 4.0, 3, "Store") for i in range(2560)], CATALOG_SCHEMA)
+    full = build_index(catalog, buckets=4)
+    blocks = B.build_blocks(full.postings, full.documents, full.totals, shared_dir(spark), 64)
+    asked = queries.where("query_text in ('shoe wool', 'w1', 'w1 w2 w3')")
+    terms = R.explode_terms(asked)
+    want = R.top_k(R.bm25_scores(full, terms), 100, F.desc("score"), F.asc("parent_asin"))
+    told = []
+    searched = B._searched
+
+    def counted(*args):
+        told.append(write_table(searched(*args), "told"))
+        return told[-1]
+    B._searched = counted
+    try:
+        assert rows(B.search(blocks, terms, full.term_stats, 100, products=64)) == rows(want)
+    finally:
+        B._searched = searched
+    assert sum(t.count() for t in told) <= 6 * 100 * asked.count()
