@@ -188,3 +188,15 @@ def test_products(catalog):
     # The umbrella label splits at its comma, so only its second half is no umbrella label by itself.
     assert rows["P0"].coarse_category == "Women Shoes"
     assert C.catalog_id_violations(catalog.unionByName(catalog.limit(1))).count() == 1
+
+
+def test_index_text_is_spread_by_its_size(spark, monkeypatch):
+    from lodestone.operators import search_index as I
+    from lodestone.sources.catalog import CATALOG_SCHEMA
+
+    rows = [(f"P{i}", "shoe wool", ["red"], ["soft " * 20], "1", ["Top"], {"k": "w"}, 4.0, 3, "Store") for i in range(200)]
+    catalog = spark.createDataFrame(rows, CATALOG_SCHEMA)
+    monkeypatch.setattr(I, "TASK_CHARS", 1000, raising=False)
+    postings = I.build_postings(catalog)
+    assert postings.rdd.getNumPartitions() >= 20
+    assert postings.count() == 200 * postings.where("parent_asin = 'P7'").count()
