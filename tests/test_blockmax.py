@@ -100,3 +100,29 @@ def test_ties_hand_on_a_few_k_rows(spark, queries):
     finally:
         B._searched = searched
     assert sum(t.count() for t in told) <= 6 * 100 * asked.count()
+
+
+def test_copies_and_repeated_questions_are_answered_once(spark):
+    """Copies of a product are one class and queries of the same known terms one request; every product and query is still told."""
+    texts = [f"shoe wool w{i}" for i in range(12)]
+    catalog = spark.createDataFrame(
+        [(f"P{(7 * i) % 480:03d}", texts[i % 12], ["red"], ["soft"], "1", ["Top"], {"k": "x"}, 4.0, 3, "Store") for i in range(480)], CATALOG_SCHEMA)
+    full = build_index(catalog, buckets=4)
+    blocks = B.build_blocks(full.postings, full.documents, full.totals, shared_dir(spark), 8)
+    assert blocks.blocks.agg(F.max("n")).first()[0] <= 8 and blocks.blocks.where("term = 'shoe'").agg(F.sum("n")).first()[0] == 12
+    assert blocks.members.count() == 480
+    asked = spark.createDataFrame([(f"q{i}", f"wool w{i % 3} unknown{i}") for i in range(60)], "query_id string, query_text string")
+    terms, told = R.explode_terms(asked), []
+    searched = B._searched
+
+    def counted(*args):
+        told.append(write_table(searched(*args), "told"))
+        return told[-1]
+    B._searched = counted
+    try:
+        for k in (1, 30, 100):
+            want = R.top_k(R.bm25_scores(full, terms), k, F.desc("score"), F.asc("parent_asin"))
+            assert rows(B.search(blocks, terms, full.term_stats, k, products=8)) == rows(want)
+    finally:
+        B._searched = searched
+    assert max(t.select("q").distinct().count() for t in told) == 3
