@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import vocab as V
-from lodestone.operators.scoring import rank_scored, score_candidates
+from lodestone.operators.scoring import ScoringConfig, blended_topk
 
 
 def normalize_recommendations(rec_log: DataFrame, catalog: DataFrame, k: int = V.TOP_K) -> DataFrame:
@@ -76,17 +79,20 @@ def session_objective(outcomes: DataFrame, *keys: str) -> DataFrame:
     return outcomes.groupBy(*keys).agg(F.round(F.avg(F.when(F.col("hit"), earned).otherwise(0.0)), 9).alias("objective"))
 
 
-def sweep(candidates: DataFrame, queries: DataFrame, products: DataFrame, stats: DataFrame, configs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Metrics of many scoring configurations on the same candidates; place 1 is the best.
+def sweep(
+    lexical: DataFrame, queries: DataFrame, products: DataFrame, stats: DataFrame, configs: Mapping[str, ScoringConfig], labels: DataFrame,
+) -> DataFrame:
+    """Metrics of scoring configurations on the same candidates; place 1 is the best.
 
-    Every configuration only adds columns-wise arithmetic to one candidate set.  ``labels``: query_id, target.
+    Each configuration reads its best candidates alone, no more of a category than can matter.  ``labels``: query_id, target.
     """
-    scored = score_candidates(candidates, queries, products, stats, configs=configs)
-    best = rank_scored(scored, V.TOP_K, "config_id")
+    best = reduce(DataFrame.unionByName, [
+        blended_topk(lexical, queries, products, stats, V.TOP_K, config).select(F.lit(name).alias("config_id"), "query_id", "parent_asin", "rank")
+        for name, config in sorted(configs.items())])
     hits = best.join(
         labels.select("query_id", F.col("target").alias("parent_asin")).distinct(), ["query_id", "parent_asin"]).select(
         "config_id", "query_id", "parent_asin", "rank")
-    grid = labels.select("query_id", F.col("target").alias("parent_asin")).crossJoin(F.broadcast(configs.select("config_id")))
+    grid = labels.select("query_id", F.col("target").alias("parent_asin"), F.explode(F.array(*[F.lit(name) for name in sorted(configs)])).alias("config_id"))
     outcomes = grid.join(hits, ["config_id", "query_id", "parent_asin"], "left").select(
         "config_id", F.col("rank").isNotNull().alias("hit"), F.when(F.col("rank").isNotNull(), 1).alias("first_hit_turn"),
         F.coalesce(1.0 / F.col("rank"), F.lit(0.0)).alias("reciprocal_rank"))

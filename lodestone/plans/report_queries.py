@@ -301,10 +301,9 @@ o AS (SELECT config_id, rank IS NOT NULL AS hit, CASE WHEN rank IS NOT NULL THEN
 m AS (SELECT config_id, {METRIC_COLUMNS} FROM o GROUP BY 1), f AS (SELECT {WITH_SCORE} FROM m)
 SELECT *, row_number() OVER (ORDER BY score DESC, config_id) AS place FROM f""")
 def weight_sweep(spark, sf_dir):
-    configs = SC.config_table(spark, SWEEP_CONFIGS)
     return E.sweep(
-        N.opening_candidates(spark, sf_dir), N.opening_queries(spark, sf_dir), N.part_products(spark, sf_dir), N.part_stats(spark, sf_dir),
-        configs, N.session_openings(spark, sf_dir).select("query_id", "target"))
+        N.opening_lexical(spark, sf_dir), N.opening_queries(spark, sf_dir), N.part_products(spark, sf_dir), N.part_stats(spark, sf_dir),
+        SWEEP_CONFIGS, N.session_openings(spark, sf_dir).select("query_id", "target"))
 
 
 # ---------------------------------------------------------------- samples
