@@ -86,12 +86,12 @@ SLOTS_CTE = S.PART_CATALOG + ", " + SLOTS_BODY
 
 
 def part_slots(spark, sf_dir):
-    return built_once(spark, sf_dir, "part_slots", build=lambda: write_table(SL.product_slots(A.part_catalog(spark, sf_dir)), "slots"))
+    return built_once(spark, sf_dir, "part_slots", build=lambda: write_table(SL.product_slots(N.part_catalog(spark, sf_dir)), "slots"))
 
 
 @query("product_slots", f"WITH {SLOTS_CTE} SELECT * FROM slots")
 def product_slots(spark, sf_dir):
-    return SL.product_slots(A.part_catalog(spark, sf_dir))
+    return SL.product_slots(N.part_catalog(spark, sf_dir))
 
 
 _BITS = "CASE " + " ".join(
@@ -304,7 +304,7 @@ b AS (SELECT parent_asin, lower(category_path[3]) AS subtype, rating_number::DOU
 SELECT parent_asin, subtype, round(percent_rank() OVER (PARTITION BY subtype ORDER BY bayes), 9) AS bayesian_rating_percentile,
        round(percent_rank() OVER (PARTITION BY subtype ORDER BY n), 9) AS popularity_percentile FROM b""")
 def subtype_priors(spark, sf_dir):
-    rows = SL.subtype_priors(A.part_catalog(spark, sf_dir), N.part_stats(spark, sf_dir))
+    rows = SL.subtype_priors(N.part_catalog(spark, sf_dir), N.part_stats(spark, sf_dir))
     return rows.withColumns({c: F.round(c, 9) for c in ("bayesian_rating_percentile", "popularity_percentile")})
 
 
@@ -316,7 +316,7 @@ hit AS (SELECT DISTINCT query_id, subtype, df FROM queries JOIN st ON contains('
 SELECT query_id, subtype, row_number() OVER (PARTITION BY query_id ORDER BY len(string_split(subtype, ' ')) DESC, df, subtype) AS place FROM hit
 QUALIFY place <= 4""")
 def query_subtypes(spark, sf_dir):
-    stats = SL.subtype_stats(SL.product_subtypes(A.part_catalog(spark, sf_dir)))
+    stats = SL.subtype_stats(SL.product_subtypes(N.part_catalog(spark, sf_dir)))
     return SL.resolve_query_subtypes(N.opening_queries(spark, sf_dir), stats)
 
 
@@ -362,7 +362,7 @@ SELECT query_id, parent_asin,
   round(sum(CASE WHEN list_contains(c, term) THEN w ELSE 0 END) / sum(w), 9) AS description_store_coverage
 FROM page JOIN qw USING (query_id) JOIN fsets USING (parent_asin) GROUP BY ALL""")
 def idf_coverage(spark, sf_dir):
-    fields = RR.field_group_terms(A.part_catalog(spark, sf_dir))
+    fields = RR.field_group_terms(N.part_catalog(spark, sf_dir))
     rows = RR.idf_coverage(feature_page(spark, sf_dir), _conversation_terms(spark, sf_dir), _feature_idf(spark, sf_dir), fields)
     return rows.select("query_id", "parent_asin", *[F.round(c, 9).alias(c) for c in (
         "idf_any_field_coverage", "title_category_coverage", "features_details_coverage", "description_store_coverage")])
@@ -370,7 +370,7 @@ def idf_coverage(spark, sf_dir):
 
 def linear_features(spark, sf_dir):
     """All inputs of the linear feature score for the first coverage page of every opening query."""
-    catalog, slots, queries = A.part_catalog(spark, sf_dir), part_slots(spark, sf_dir), N.opening_queries(spark, sf_dir)
+    catalog, slots, queries = N.part_catalog(spark, sf_dir), part_slots(spark, sf_dir), N.opening_queries(spark, sf_dir)
     page = built_once(spark, sf_dir, "feature_page", build=lambda: write_table(feature_page(spark, sf_dir), "feature_page"))
     keys = ["query_id", "parent_asin"]
     fields = RR.field_group_terms(catalog)
