@@ -28,3 +28,25 @@ def test_copies_have_the_slots_of_one_product(spark):
     assert held["material", "leather"] == ("features", 0.9, "waterproof leather")
     assert held["category", "widgets"] == ("categories", 1.0, "Widgets")
     assert held["brand", "acme"] == ("store", 1.0, "Acme")
+
+
+def test_phrases_are_whole_words_in_a_row(spark):
+    texts = ["", "red", "hook and loop", "the hook and loop zip", "hooks and loop", "plus size slim fit", "fleece lined fleece", "reddish tshirts", "size plus"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.array_sort(SL._slot_keys("t")).alias("k"), F.array_sort(SL._consumed("t")).alias("w")).collect()
+    every = [(p, f"{s}={v}") for s, words in SL.SV.SLOTS.items() for p, v in words.items()]
+    phrases = {p for p, _ in every} | set(SL.SV.CATEGORIES)
+    for r in rows:
+        assert r.k == sorted({v for p, v in every if f" {p} " in f" {r.t} "})
+        assert r.w == sorted({w for p in phrases if f" {p} " in f" {r.t} " for w in p.split(" ")})
+
+
+def test_canonical_forms_are_made_once(spark):
+    states = spark.createDataFrame(
+        [("q", "Red Boots", ["hook", "and", "loop", "slip-on", "red"], ["black"])],
+        "query_id string, category_text string, active_terms array<string>, excluded_terms array<string>")
+    view = SL.constraint_view(states)
+    assert view._jdf.queryExecution().executedPlan().toString().count("regexp_replace(") < 50
+    row = view.first()
+    assert [(c.slot, c.value, c.source) for c in row.positive] == [
+        ("closure", "hook and loop", "active_terms"), ("closure", "slip on", "active_terms"), ("color", "red", "active_terms")]
+    assert [(c.slot, c.value) for c in row.negative] == [("color", "black")] and row.category_terms == ["boot"] and row.exact_terms == []
